@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecrest.llm import simhash
-from pagecrest.llm.common import table
+from pagecrest.llm import ppm, simhash
+from pagecrest.llm.common import bucket_of_id, table
 
 
 def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,13 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ppm.score(docs, bucket_of_id(F.col("doc_id"), 5) == 1)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_simhash_bktree,)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm)}
 
 
 def oracle_sql():
