@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecrest.llm import ppm, simhash
+import public_tokenizers
+
+from pagecrest.llm import bpe, packing, ppm, simhash
 from pagecrest.llm.common import bucket_of_id, table
 
 
@@ -19,8 +21,19 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, bucket_of_id(F.col("doc_id"), 5) == 1)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, capacity=1024), capacity=1024)
+
+
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bpe.with_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return docs.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op9_best_fit_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql():
