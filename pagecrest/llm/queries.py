@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagecrest.llm import bpe, packing, ppm, simhash
+from pagecrest.llm import bpe, packing, ppm, quality, simhash
 from pagecrest.llm.common import bucket_of_id, table
 
 
@@ -21,6 +21,11 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, bucket_of_id(F.col("doc_id"), 5) == 1)
 
 
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *(F.col(f"counts.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, capacity=1024), capacity=1024)
@@ -33,7 +38,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op9_best_fit_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op4_decision_list, op9_best_fit_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql():
