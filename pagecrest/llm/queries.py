@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagecrest.llm import bpe, packing, ppm, quality, simhash
+from pagecrest.llm import bpe, packing, ppm, quality, simhash, toxicity
 from pagecrest.llm.common import bucket_of_id, table
 
 
@@ -26,6 +26,13 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"counts.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), bucket_of_id(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, capacity=1024), capacity=1024)
@@ -38,7 +45,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op4_decision_list, op9_best_fit_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op4_decision_list, op5_toxicity_grammar, op9_best_fit_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql():
