@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecrest.llm.common import settle
+from pagecrest.llm.common import release, settle
 
 END = b"\xff"
 #: Words' end token in the unigram counts; no word equals it, as words are UTF-8.
 END_WORD = xxhash.xxh64_intdigest(END) - (1 << 63)
 LOW = 2  # contexts up to this order are in every piece of the trie: 256**3 grams at most
-STEP = 1 << 19
+STEP = 1 << 18
 
 
 def lay_out(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +79,6 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     keys: list[np.ndarray] = []
     counts: list[np.ndarray] = []
-    held = 0
 
     def take(texts: list[bytes]) -> None:
         buf, starts = lay_out(texts, order)
@@ -95,22 +94,25 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            texts.append((t or b"").lower())
-            size += len(texts[-1]) + order + 1
-            if size > 1 << 22:
+        for at in range(0, batch.num_rows, 256):
+            for t in batch.column(0).slice(at, 256).to_pylist():
+                texts.append((t or b"").lower())
+                size += len(texts[-1]) + order + 1
+            if size > 1 << 20:
                 take(texts)
                 texts, size = [], 0
-                if (held := sum(map(len, keys))) > 4_000_000:
+                if sum(map(len, keys)) > 1_500_000:
                     k, c = _summed(keys, counts)
                     keys, counts = [k], [c]
-                    if len(k) > 2_000_000:
+                    if len(k) > 1_000_000:
                         yield out()
                         keys, counts = [], []
     if texts:
         take(texts)
     if keys:
         yield out()
+    del keys, counts
+    release()
 
 
 class Trie:
@@ -296,16 +298,20 @@ def _score(batches: Iterator[pa.RecordBatch], pieces: list, order: int, block_by
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for i, h, t in zip(*(c.to_pylist() for c in batch.columns)):
-            ids.append(i)
-            held.append(h)
-            texts.append((t or b"").lower())
-            size += len(texts[-1]) + 64
-            if size >= block_bytes:
-                yield block(ids, held, texts)
-                ids, held, texts, size = [], [], [], 0
+        for at in range(0, batch.num_rows, 256):
+            for i, h, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                ids.append(i)
+                held.append(h)
+                texts.append((t or b"").lower())
+                size += len(texts[-1]) + 64
+                if size >= block_bytes:
+                    yield block(ids, held, texts)
+                    ids, held, texts, size = [], [], [], 0
+                    release()
     if ids:
         yield block(ids, held, texts)
+        del ids, held, texts
+    release()
 
 
 def _base(blocks: pa.Table, counts: pa.Table, tokens: int, distinct: int) -> pa.Table:
@@ -327,7 +333,7 @@ def _base(blocks: pa.Table, counts: pa.Table, tokens: int, distinct: int) -> pa.
     })
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 5, max_grams: int = 4_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 5, max_grams: int = 4_000_000, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     held_out marks the rows that the model must not learn from. max_grams bounds what is broadcast

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagecrest.llm import bpe, packing, ppm, quality, simhash, toxicity
+from pagecrest.llm import bpe, mixing, packing, ppm, quality, simhash, toxicity
 from pagecrest.llm.common import bucket_of_id, table
 
 
@@ -21,6 +21,11 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, bucket_of_id(F.col("doc_id"), 5) == 1)
 
 
+def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most_passes=2, weights=(5, 2, 1))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *(F.col(f"counts.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
@@ -45,7 +50,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op4_decision_list, op5_toxicity_grammar, op9_best_fit_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op3_source_schedule, op4_decision_list, op5_toxicity_grammar, op9_best_fit_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql():
