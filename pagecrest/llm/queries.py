@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagecrest.llm import bpe, mixing, packing, ppm, quality, simhash, toxicity
+from pagecrest.llm import bpe, mixing, packing, ppm, quality, resharding, simhash, topk, toxicity, urls
 from pagecrest.llm.common import bucket_of_id, table
 
 
@@ -38,6 +38,21 @@ def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The old layout: eight shards by a hash of the text, with sizes as they fall.
+    plan = resharding.reshard(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("text", F.lit("old")), F.lit(8)), new_shards=8)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op7_url_ngram_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, capacity=1024), capacity=1024)
@@ -50,7 +65,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op3_source_schedule, op4_decision_list, op5_toxicity_grammar, op9_best_fit_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_ppm, op3_source_schedule, op4_decision_list, op5_toxicity_grammar, op6_min_cost_flow, op7_url_ngram_logistic, op8_cover_tree_top_k, op9_best_fit_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql():
