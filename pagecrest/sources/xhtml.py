@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from pagecrest.sources.markup import _RUN, Node, normalize, parse_html
 
 #: Tags that never contribute text.
@@ -148,3 +151,18 @@ class Blocks:
 
 def blocks_of(html: str, resolve: Callable[[str], str | None] | None = None) -> Blocks:
     return Blocks(resolve).body(parse_html(html))
+
+
+def html_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, block_index, kind, text, heading_level) of every page; a null page has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, i, b.kind, b.text, b.level) for k, h in zip(*(c.to_pylist() for c in batch.columns)) for i, b in enumerate(blocks_of(h or "").blocks)]
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "block_index", "kind", "text", "heading_level"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    found = pages.select(key, html).mapInArrow(run, f"key {kind}, block_index int, kind string, text string, heading_level int")
+    return found.withColumnRenamed("key", key)
