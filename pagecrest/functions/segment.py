@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecrest.functions.text import WS, trim_ws, u16
+from pagecrest.functions.text import WS, WS_CHARS, trim_ws, u16
 
 #: Stops that need white space or the end after them, and stops that do not.
 SPACED = ".!?\u2026\u0964\u0965\u061f\u06d4\u0589\u1362"
@@ -55,8 +55,12 @@ def chain(greek: bool = False, abbreviations: Iterable[str] = ()) -> list[tuple[
 
 
 def marked(text: Column, greek: bool = False, abbreviations: Iterable[str] = ()) -> Column:
+    """The text with marks at its sentence boundaries."""
     out = F.translate(text, HARD + SOFT, "  ")
-    for pattern, to in chain(greek, abbreviations):
+    (unspaced, hard), *rest = chain(greek, abbreviations)
+    # Stops of scripts without spaces all lie above Arabic; most texts have no such character.
+    out = F.when(F.rlike(out, F.lit(r"[\x{0F00}-\x{FFFF}]")), F.regexp_replace(out, unspaced, hard)).otherwise(out)
+    for pattern, to in rest:
         out = F.regexp_replace(out, pattern, to)
     return out
 
@@ -65,23 +69,38 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def marked_for(text: Column, lang: Column | str | None, abbreviations: Iterable[str]) -> Column:
+    if lang is None or isinstance(lang, str):
+        return marked(text, lang == "el", abbreviations)
+    return F.when(lang == "el", marked(text, True, abbreviations)).otherwise(marked(text, False, abbreviations))
+
+
+def sentence_texts(text: Column, lang: Column | str | None = None, abbreviations: Iterable[str] = ()) -> Column:
+    """array<string> of a paragraph's sentences, for queries that need no offsets."""
+    pieces = F.split(marked_for(text, lang, abbreviations), f"[{HARD}{SOFT}]")
+    return F.array_remove(F.transform(pieces, trim_ws), "")
+
+
 def sentences(text: Column, lang: Column | str | None = None, abbreviations: Iterable[str] = ()) -> Column:
     """array<struct<text,start,end>> of a paragraph; offsets are UTF-16 and relative to it."""
-    if lang is None or isinstance(lang, str):
-        mark = marked(text, lang == "el", abbreviations)
-    else:
-        mark = F.when(lang == "el", marked(text, True, abbreviations)).otherwise(marked(text, False, abbreviations))
+    mark = marked_for(text, lang, abbreviations)
+
+    def cut(size):
+        """Sentences of the pieces, with lengths by `size`."""
+
+        def of(pieces: Column, sizes: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                text = trim_ws(p)
+                before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n)
+                start = before + size(p) - size(F.ltrim(p, F.lit(WS_CHARS)))
+                return F.struct(text.alias("text"), start.alias("start"), (start + size(text)).alias("end"))
 
-    def cut(pieces: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            before = F.array_join(F.slice(pieces, F.lit(1), i), "")
-            lead = F.regexp_extract(p, f"^[{WS}]*", 0)
-            return F.struct(trim_ws(p).alias("text"), (u16(before) + u16(lead)).alias("start"))
+            return F.filter(F.transform(pieces, one), lambda s: s["text"] != "")
 
-        found = F.filter(F.transform(pieces, one), lambda s: s["text"] != "")
-        return F.transform(found, lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), (s["start"] + u16(s["text"])).alias("end")))
+        return _let(F.split(mark, f"[{HARD}{SOFT}]"), lambda pieces: _let(F.transform(pieces, size), lambda sizes: of(pieces, sizes)))
 
-    return _let(F.split(mark, f"[{HARD}{SOFT}]"), cut)
+    # Beyond the basic plane a character is two units; elsewhere its length is one.
+    return F.when(F.rlike(text, F.lit(r"[\x{10000}-\x{10FFFF}]")), cut(u16)).otherwise(cut(F.length))
 
 
 def word_pattern(japanese: bool) -> str:
@@ -113,8 +132,10 @@ def words(sentence: Column, lang: Column | str | None = None, start: Column | in
     return F.transform(placed, offset)
 
 
-def sentence_rows(blocks: DataFrame, *keys: str, text: str = "text", lang: Column | str | None = None, abbreviations: Iterable[str] = ()) -> DataFrame:
-    """One row for each sentence: the keys, sentence_index, text, start and end."""
+def sentence_rows(blocks: DataFrame, *keys: str, text: str = "text", lang: Column | str | None = None, abbreviations: Iterable[str] = (), offsets: bool = True) -> DataFrame:
+    """One row for each sentence: the keys, sentence_index, text and, with offsets, start and end."""
+    if not offsets:
+        return blocks.select(*keys, F.posexplode(sentence_texts(F.col(text), lang, abbreviations)).alias("sentence_index", "text"))
     cut = F.posexplode(sentences(F.col(text), lang, abbreviations)).alias("sentence_index", "s")
     return blocks.select(*keys, cut).select(*keys, "sentence_index", "s.text", "s.start", "s.end")
 

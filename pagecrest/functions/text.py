@@ -22,8 +22,12 @@ MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "g
 OTHER_MEDIA = "application/octet-stream"
 
 
+#: The same characters, spelled out.
+WS_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_ws(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(x, F.lit(WS_CHARS))
 
 
 def normalize_ws(x: Column) -> Column:

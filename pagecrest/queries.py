@@ -72,19 +72,19 @@ def sql_sentences(source: str, keys: str, x: str = "text", greek: bool = False,
           (base + lead)::BIGINT AS "start", (base + lead + length(text))::BIGINT AS "end" FROM o WHERE text <> '')"""
 
 
-def doc_sentences(spark, sf_dir, text: Column | None = None, lang=None, abbreviations=()) -> DataFrame:
+def doc_sentences(spark, sf_dir, text: Column | None = None, lang=None, abbreviations=(), offsets=False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.col("text") if text is None else text)
-    return S.sentence_rows(S.paragraphs(docs, "doc_id"), "doc_id", "block_index", lang=lang, abbreviations=abbreviations)
+    return S.sentence_rows(S.paragraphs(docs, "doc_id"), "doc_id", "block_index", lang=lang, abbreviations=abbreviations, offsets=offsets)
 
 
 @query(f"WITH {sql_sentences('documents', 'doc_id')} SELECT doc_id, block_index, sentence_index, text FROM s")
 def sentences(spark, sf_dir):
-    return doc_sentences(spark, sf_dir).drop("start", "end")
+    return doc_sentences(spark, sf_dir)
 
 
 @query(f'WITH {sql_sentences("documents", "doc_id")} SELECT doc_id, block_index, sentence_index, "start" AS start_at, "end" AS end_at FROM s')
 def sentence_offsets(spark, sf_dir):
-    return doc_sentences(spark, sf_dir).select("doc_id", "block_index", "sentence_index", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+    return doc_sentences(spark, sf_dir, offsets=True).select("doc_id", "block_index", "sentence_index", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 ABBREVIATIONS = ("of", "der", "de", "heand")
@@ -92,24 +92,24 @@ ABBREVIATIONS = ("of", "der", "de", "heand")
 
 @query(f"WITH {sql_sentences('documents', 'doc_id', abbreviations=ABBREVIATIONS)} SELECT doc_id, block_index, sentence_index, text FROM s")
 def sentences_abbrev(spark, sf_dir):
-    return doc_sentences(spark, sf_dir, abbreviations=ABBREVIATIONS).drop("start", "end")
+    return doc_sentences(spark, sf_dir, abbreviations=ABBREVIATIONS)
 
 
 @query(f"WITH {sql_sentences('documents', 'doc_id', x="replace(text, '.', ';')", greek=True)} SELECT doc_id, block_index, sentence_index, text FROM s")
 def sentences_greek_hint(spark, sf_dir):
-    return doc_sentences(spark, sf_dir, F.replace("text", F.lit("."), F.lit(";")), lang="el").drop("start", "end")
+    return doc_sentences(spark, sf_dir, F.replace("text", F.lit("."), F.lit(";")), lang="el")
 
 
 @query(f"WITH {sql_sentences('documents', 'doc_id, lang')} SELECT lang, count(*)::BIGINT AS n_sentences, sum(length(text))::BIGINT AS n_chars FROM s GROUP BY lang")
 def sentence_counts_by_lang(spark, sf_dir):
-    rows = S.sentence_rows(S.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "lang"), "lang")
+    rows = S.sentence_rows(S.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "lang"), "lang", offsets=False)
     return rows.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query(f"WITH {sql_sentences('conversations', 'conv_id, turn, role')} SELECT conv_id, turn, block_index, sentence_index, text FROM s WHERE role <> 'system'")
 def conversation_sentences(spark, sf_dir):
     rows = S.paragraphs(table(spark, sf_dir, "conversations").where("role <> 'system'"), "conv_id", "turn")
-    return S.sentence_rows(rows, "conv_id", "turn", "block_index").drop("start", "end")
+    return S.sentence_rows(rows, "conv_id", "turn", "block_index", offsets=False)
 
 
 WORD = quoted(f"[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}{S.APOSTROPHES}\\-]*")
