@@ -9,11 +9,11 @@ for its path. Evidence, not lone words, goes into a logistic score whose weights
 
 Insults are learned from labelled texts: whole words and word beginnings that are far commoner in
 toxic texts, each with its log odds as weight. The grammar's function words are fixed lists.
-Learning takes a sample of at most `max_labelled` labelled rows, those with the lowest hash of id;
-what it counts per word is gathered by Spark, and the driver gets the matches of the lexicon only.
+Learning takes a sample by hash of about `max_labelled` labelled ids; what it counts per word is
+gathered by Spark, and the driver gets the matches of the lexicon only.
 
 Defined results: null and empty texts score as texts without evidence; null labels teach nothing;
-with no labels every score is the same, below 0.5; labels of a repeated id all count; repeated
+with no labels every score is the same, below 0.5; an id with both labels is toxic; repeated
 rows and ids return each; an empty table gives an empty result.
 """
 
@@ -199,10 +199,9 @@ def chosen(found: list) -> tuple[dict[str, float], dict[str, float]]:
     return words, stems
 
 
-def fit(labelled: DataFrame, text: str, toxic: str, max_labelled: int = 12_000, least_share: float = 0.02, least_ratio: float = 4.0, max_terms: int = 500) -> Model:
-    """Model from labelled texts; toxic is 1 or 0. max_terms bounds the lexicon."""
-    rows = labelled.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic"), F.xxhash64(text).alias("h"))
-    rows = settle(rows.orderBy("h").limit(max_labelled))
+def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, least_ratio: float = 4.0, max_terms: int = 500) -> Model:
+    """Model from a bounded table of labelled texts; toxic is 1 or 0. max_terms bounds the lexicon."""
+    rows = settle(labelled.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic")))
     n1, n = (rows.where("toxic").count(), rows.count())
     n0 = n - n1
     if not n1 or not n0:
@@ -267,8 +266,13 @@ def with_clauses(docs: DataFrame, model: Model, text: str = "text", out: str = "
     return docs.withColumn(out, clauses(F.col(text)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", toxic: str = "toxic", **options) -> Model:
-    """Model from the labelled rows of docs for which train holds."""
+def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", toxic: str = "toxic", max_labelled: int = 12_000, **options) -> Model:
+    """Model from the labelled rows of docs for which train holds, of about max_labelled labelled ids
+    at most: those whose hash falls into that share."""
+    by_id = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(toxic).alias("_toxic"))
+    share = min(1.0, max_labelled / max(1, by_id.count()))
+    sample = by_id.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(11)), F.lit(1 << 30)) < round(share * (1 << 30)))
     rows = docs.where(train) if train is not None else docs
-    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return fit(rows.join(labels.select(F.col(label_id).alias("doc_id"), F.col(toxic).alias("toxic")), "doc_id"), "text", "toxic", **options)
+    rows = rows.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    # The sampled labels are bounded, so texts need not be shuffled to meet them.
+    return fit(rows.join(F.broadcast(sample), F.col("_doc") == F.col("_id")), "_text", "_toxic", **options)
