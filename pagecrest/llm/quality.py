@@ -209,6 +209,8 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality", **options) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns."""
     c = fresh(docs, "counts")
-    taught = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(labels.select(F.col(label_id).alias("doc_id"), F.col(good).alias("good")), "doc_id")
-    rules = learn(settle(with_counts(taught, "text", "counts").drop("text")), "counts", "good", **options)
+    # Texts are counted where they lie; only counts are shuffled to meet the labels.
+    stats = settle(with_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "counts").drop("text"))
+    taught = stats.join(labels.select(F.col(label_id).alias("doc_id"), F.col(good).alias("good")), "doc_id")
+    rules = learn(taught, "counts", "good", **options)
     return with_counts(docs, text, c).where(~base_failed(c) & (verdict(rules, c) == 0)).drop(c)
