@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,7 +244,7 @@ def broadcast_pieces(grams: DataFrame, order: int, max_grams: int) -> list:
 
 def _score(batches: Iterator[pa.RecordBatch], pieces: list, order: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row for each block of texts: per text id, held out, tokens, score and the indices of its
-    words in the block's vocabulary; of the vocabulary the hashes and counts in training texts."""
+    words in the block's vocabulary, as compressed byte planes; of the vocabulary the hashes and counts in training texts."""
     names = ["block", "doc_id", "held_out", "n_words", "score", "word", "vocab", "train_n"]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     part, seq = TaskContext.get().partitionId(), 0
@@ -287,7 +288,7 @@ def _score(batches: Iterator[pa.RecordBatch], pieces: list, order: int, block_by
         vocab = np.array([xxhash.xxh64_intdigest(w) for w in index], np.uint64)
         row = [
             [part << 32 | seq], [ids], [held], [list(map(len, found))], [scores(texts)],
-            [np.concatenate([*found, np.zeros(0, np.int32)]).astype("<i4").tobytes()],
+            [zstandard.compress(np.concatenate([*found, np.zeros(0, np.int32)]).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)],
             [np.r_[(vocab ^ np.uint64(1 << 63)).view(np.int64), END_WORD]], [np.r_[train_n, held.count(False)]],
         ]
         seq += 1
@@ -318,11 +319,11 @@ def _base(blocks: pa.Table, counts: pa.Table, tokens: int, distinct: int) -> pa.
     """Rows of one block, its words' counts beside it."""
     row = blocks.to_pylist()[0]
     at, c = (counts.column(k).to_numpy() for k in ("pos", "c"))
-    log = np.zeros(row["vocab_size"])
+    log = np.full(row["vocab_size"], np.log10(0.5 / (tokens + 0.5 * (distinct + 1))))
     known = np.zeros(row["vocab_size"], np.int64)
     log[at] = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
     known[at] = c > 0
-    word = np.frombuffer(row["word"], "<i4")
+    word = np.ascontiguousarray(np.frombuffer(zstandard.decompress(row["word"]), np.uint8).reshape(4, -1).T).view("<i4").ravel()
     n = np.array(row["n_words"], np.int64)
     cut = np.r_[0, np.cumsum(n)]
     run_known = np.r_[0, np.cumsum(known[word])]
@@ -346,7 +347,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     words = blocks.select("block", F.posexplode(F.arrays_zip("vocab", "train_n")).alias("pos", "w")).select("block", "pos", F.col("w.vocab").alias("h"), F.col("w.train_n").alias("n"))
     counts = settle(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("c")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    found = words.select("block", "pos", "h").join(counts, "h", "left").select("block", "pos", F.coalesce("c", F.lit(0)).alias("c"))
+    # Words that training has not seen need not come back.
+    found = words.select("block", "pos", "h").join(counts, "h").select("block", "pos", "c")
     heads = blocks.select(F.col("block").alias("held_block"), "doc_id", "held_out", "n_words", "score", "word", F.size("vocab").alias("vocab_size"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return heads.groupBy("held_block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: _base(a, b, tokens, distinct), out)
