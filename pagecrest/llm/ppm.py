@@ -117,14 +117,19 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 
 
 class Trie:
-    """Log probabilities from gram counts. high: grams of the full order; low: of order LOW."""
+    """Log probabilities from gram counts. high: grams of the full order; low: of order LOW, or of the
+    full order if that is less. Below the full order a symbol counts once for each longer context
+    that it was seen in (update exclusion), and `discount` of each symbol's count goes to the escape."""
 
-    def __init__(self, order: int, high: tuple[np.ndarray, np.ndarray], low: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, order: int, high: tuple[np.ndarray, np.ndarray], low: tuple[np.ndarray, np.ndarray], discount: float = 0.3):
         self.order = order
         top = [None] * (order + 1)
         for j in range(order, -1, -1):
-            keys, n = low if j == min(LOW, order) else high if j == order else top[j + 1]
-            top[j] = _summed([keys & ((1 << 8 * (j + 1)) - 1)], [n])
+            if j == order or j == LOW:
+                keys, n = low if j == min(LOW, order) else high
+            else:
+                keys, n = top[j + 1][0] & ((1 << 8 * (j + 1)) - 1), np.ones(len(top[j + 1][0]), np.int64)
+            top[j] = _summed([keys], [n])
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []  # keys, log10 of counts
         self.contexts: list[tuple[np.ndarray, ...]] = []  # keys, own total, own escape, the parent's total and escape when excluded
         totals: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -133,8 +138,8 @@ class Trie:
                 ctx, first, kinds = np.unique(keys >> 8, return_index=True, return_counts=True)
                 total = np.add.reduceat(n, first) if len(keys) else n
                 totals.append((ctx, total, kinds))
-                self.grams.append((keys, np.log10(n - 0.5)))
-                own = np.log10(total), np.log10(kinds / 2 / total)
+                self.grams.append((keys, np.log10(n - discount)))
+                own = np.log10(total), np.log10(discount * kinds / total)
                 if not j or not len(keys):
                     self.contexts.append((ctx, *own, np.zeros(len(ctx)), np.zeros(len(ctx))))
                     continue
@@ -143,7 +148,7 @@ class Trie:
                 up_ctx, up_total, up_kinds = totals[j - 1]
                 at = np.searchsorted(up_ctx, ctx & ((1 << 8 * (j - 1)) - 1))
                 left, new = up_total[at] - ruled_out, up_kinds[at] - kinds
-                self.contexts.append((ctx, *own, np.where(new > 0, np.log10(left), 0.0), np.where(new > 0, np.log10(new / 2 / left), 0.0)))
+                self.contexts.append((ctx, *own, np.where(new > 0, np.log10(left), 0.0), np.where(new > 0, np.log10(discount * new / left), 0.0)))
         zero = self.contexts[0]
         self.unseen = -np.log10(max(1, 256 - (int(totals[0][2][0]) if len(zero[0]) else 0)))
         keys, logs = self.grams[order]
@@ -234,7 +239,11 @@ def broadcast_pieces(grams: DataFrame, order: int, max_grams: int) -> list:
     """The trie in broadcasts of at most about max_grams grams of the full order each."""
     sc = grams.sparkSession.sparkContext
     arrays = lambda df: tuple(c.to_numpy() for c in df.toArrow().select(["gram", "n"]).columns)
-    low = arrays(grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (min(LOW, order) + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")))
+    if order <= LOW:
+        low = arrays(grams)
+    else:
+        longer = grams.select(F.col("gram").bitwiseAND((1 << 8 * (LOW + 2)) - 1).alias("gram")).distinct()
+        low = arrays(longer.groupBy(F.col("gram").bitwiseAND((1 << 8 * (LOW + 1)) - 1).alias("gram")).agg(F.count("*").alias("n")))
     pieces = max(1, -(-grams.count() // max_grams))
     if pieces == 1:
         return [sc.broadcast(Trie(order, arrays(grams), low))]
