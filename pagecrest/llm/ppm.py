@@ -2,8 +2,9 @@
 
 The model is a trie of byte contexts up to `order`, pretrained on the training rows of the whole
 corpus. A symbol is predicted in the longest context that training has seen; a symbol new to it
-costs an escape, estimated from the number of distinct symbols seen there (method D: half of the
-first sighting of each goes to the escape), and is then looked for one byte shorter, where the symbols already ruled out are excluded from the counts.
+costs an escape, estimated from the number of distinct symbols seen there (as in method D, a fixed
+part of each symbol's count), and is then looked for one byte shorter, where the symbols already
+ruled out are excluded from the counts.
 Below order 0 the symbols never seen are equally likely. The byte 0xFF, which UTF-8 never holds,
 stands before the text and ends it, so a text's probability includes its end.
 
