@@ -27,6 +27,8 @@ from pagecrest.llm.common import fresh, partitions, settle, words
 #: Consecutive Fibonacci numbers; their ratio is the golden ratio to 18 digits.
 LATTICE, STEP = 1134903170, 701408733
 ROWS_PER_BUCKET = 20_000
+#: Consecutive slots that are ranked together; one source may own a large part of them.
+SLOTS_PER_CHUNK = 4_000
 #: Up to so many sources, with a few dozen bytes each, are broadcast.
 FEW_SOURCES = 50_000
 
@@ -68,8 +70,8 @@ def schedule(sources: DataFrame, most_passes: int = 2) -> DataFrame:
     shares = settle(shares.select("source_no", "n_blocks", F.coalesce(F.lag("to").over(Window.orderBy("source_no")), F.lit(0.0)).alias("from"), "to"))
     total = shares.agg(F.max("to")).first()[0] or 0.0
     n = round(total)
-    chunks = max(1, -(-n // ROWS_PER_BUCKET))
-    slots = spark.range(0, n, 1, max(1, min(chunks, 10 * partitions(spark)))).select("id", F.floor(F.col("id") / ROWS_PER_BUCKET).alias("chunk"), (unit_point(F.col("id")) * total).alias("x"))
+    chunks = max(1, -(-n // SLOTS_PER_CHUNK))
+    slots = spark.range(0, n, 1, max(1, min(chunks, 10 * partitions(spark)))).select("id", F.floor(F.col("id") / SLOTS_PER_CHUNK).alias("chunk"), (unit_point(F.col("id")) * total).alias("x"))
     inside = (F.col("x") >= F.col("from")) & (F.col("x") < F.col("to"))
     if (many := shares.count()) <= FEW_SOURCES:
         placed = slots.join(F.broadcast(shares), inside)
