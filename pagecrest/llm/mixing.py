@@ -29,8 +29,8 @@ LATTICE, STEP = 1134903170, 701408733
 ROWS_PER_BUCKET = 20_000
 #: Consecutive slots that are ranked together; one source may own a large part of them.
 SLOTS_PER_CHUNK = 4_000
-#: Up to so many sources, with a few dozen bytes each, are broadcast.
-FEW_SOURCES = 50_000
+#: Up to so many sources, with a few dozen bytes each, are broadcast; and so many to a join by range.
+FEW_SOURCES, FEW_RANGES = 50_000, 256
 
 
 def unit_point(k: Column) -> Column:
@@ -73,13 +73,13 @@ def schedule(sources: DataFrame, most_passes: int = 2) -> DataFrame:
     chunks = max(1, -(-n // SLOTS_PER_CHUNK))
     slots = spark.range(0, n, 1, max(1, min(chunks, 10 * partitions(spark)))).select("id", F.floor(F.col("id") / SLOTS_PER_CHUNK).alias("chunk"), (unit_point(F.col("id")) * total).alias("x"))
     inside = (F.col("x") >= F.col("from")) & (F.col("x") < F.col("to"))
-    if (many := shares.count()) <= FEW_SOURCES:
+    if (many := shares.count()) <= FEW_RANGES:
         placed = slots.join(F.broadcast(shares), inside)
     else:  # as many cells as sources, each with the sources that reach into it
         width = total / many
         cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))))
         placed = slots.withColumn("cell", F.floor(F.col("x") / width)).join(cells, "cell").where(inside)
-    placed = placed.select("id", "chunk", "source_no", "n_blocks")
+    placed = settle(placed.select("id", "chunk", "source_no", "n_blocks"))
     sums = placed.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = settle(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))

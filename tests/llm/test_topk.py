@@ -66,3 +66,17 @@ def test_pruning_skips_far_clusters(monkeypatch):
     monkeypatch.setattr(topk.np, "broadcast_to", lambda a, s, f=np.broadcast_to: met.append(s) or f(a, s))
     topk.search(x, np.arange(len(x)), x[:50], np.arange(50), 5)
     assert sum(s[0] * s[1] for s in met) < 50 * len(x) / 2
+
+
+def test_sql(spark):
+    import duckdb
+
+    from pagecrest.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    got = queries.queries()["op8_cover_tree_top_k"](spark, sf)
+    rel = con.sql(queries.oracle_sql()["op8_cover_tree_top_k"])
+    assert got.columns == rel.columns
+    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
