@@ -30,6 +30,21 @@ def encode_block(kind: Column, text: Column, level: Column, ref: Column, media:
     return F.to_json(F.struct(F.lit(VERSION).alias("v"), block_json(kind, text, level, ref, media).alias("block")))
 
 
+def decode_block(json: Column) -> Column:
+    """struct<kind,text,heading_level,ref> of what encode_block gives, or null if it cannot be read or
+    has another version. The caller looks the image up by ref."""
+    read = F.from_json(json, f"struct<v:int,block:{BLOCK}>", {"mode": "PERMISSIVE"})
+    sound = F.coalesce((read["v"] == VERSION) & sound_block(read["block"]), F.lit(False))
+    b = read["block"]
+    return F.when(sound, F.struct(b["t"].alias("kind"), b["text"].alias("text"), b["level"].alias("heading_level"), b["ref"].alias("ref")))
+
+
+def sound_block(b: Column) -> Column:
+    """Whether a block has what its kind needs."""
+    named = b["text"].isNotNull()
+    return ((b["t"] == "p") & named) | ((b["t"] == "h") & named & b["level"].isNotNull()) | ((b["t"] == "img") & b["ref"].isNotNull())
+
+
 def image_refs(books: DataFrame, blocks: DataFrame, images: DataFrame) -> DataFrame:
     """(book_id, ref, image_id, media_type, bytes, chapter_index, block_index); the cover has indices -1."""
     cover = books.where("metadata.cover_image_id is not null").select("book_id", F.lit(-1).alias("chapter_index"), F.lit(-1).alias("block_index"), F.col("metadata.cover_image_id").alias("image_id"))
@@ -65,10 +80,7 @@ def decode(documents: DataFrame, images: DataFrame) -> DataFrame:
     media_type. ok is false, and the rest null, where the JSON cannot be read, has another version or
     names an image that is not there. Image blocks take their media type from images."""
     read = documents.select("book_id", F.from_json("json", SHAPE, {"mode": "PERMISSIVE"}).alias("d"))
-    right_kind = lambda b: (
-        ((b["t"] == "p") & b["text"].isNotNull()) | ((b["t"] == "h") & b["text"].isNotNull() & b["level"].isNotNull()) | ((b["t"] == "img") & b["ref"].isNotNull())
-    )
-    sound = F.forall("d.chapters", lambda c: c["level"].isNotNull() & c["blocks"].isNotNull() & F.forall(c["blocks"], lambda b: F.coalesce(right_kind(b), F.lit(False))))
+    sound = F.forall("d.chapters", lambda c: c["level"].isNotNull() & c["blocks"].isNotNull() & F.forall(c["blocks"], lambda b: F.coalesce(sound_block(b), F.lit(False))))
     shaped = (F.col("d.v") == VERSION) & F.col("d.metadata.lang").isNotNull() & F.col("d.metadata.authors").isNotNull() & F.col("d.chapters").isNotNull() & sound
     refs = F.flatten(F.transform("d.chapters", lambda c: F.transform(F.filter(c["blocks"], lambda b: b["t"] == "img"), lambda b: b["ref"])))
     wanted = F.array_distinct(F.array_compact(F.concat(refs, F.array("d.metadata.cover.ref"))))

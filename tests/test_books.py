@@ -162,6 +162,16 @@ def test_codec_round_trip(spark):
         assert not codec.decode(made.withColumn("json", broken), refs).first()["ok"]
 
 
+def test_block_codec(spark):
+    rows = [("p", "a", None, None, None), ("h", "b", 2, None, None), ("img", None, None, "img3", "image/png")]
+    made = spark.createDataFrame(rows, "kind string, text string, level int, ref string, media string").withColumn("json", codec.encode_block(*map(F.col, ("kind", "text", "level", "ref", "media"))))
+    assert [json.loads(r["json"])["block"] for r in made.collect()] == [{"t": "p", "text": "a"}, {"t": "h", "text": "b", "level": 2}, {"t": "img", "ref": "img3", "mediaType": "image/png"}]
+    back = [r[0] for r in made.select(codec.decode_block(F.col("json"))).collect()]
+    assert [(b["kind"], b["text"], b["heading_level"], b["ref"]) for b in back] == [r[:4] for r in rows]
+    for broken in ('{"v":2,"block":{"t":"p","text":"a"}}', '{"v":1,"block":{"t":"p"}}', "{", '{"v":1}'):
+        assert made.select(codec.decode_block(F.lit(broken))).first()[0] is None
+
+
 def test_body_sample(spark):
     rows = [("a", 0, "p", "12345"), ("a", 1, "h", "head"), ("a", 2, "p", "6789"), ("a", 3, "p", "x"), ("b", 0, "h", "h")]
     blocks = spark.createDataFrame(rows, "book_id string, block_index int, kind string, text string")
