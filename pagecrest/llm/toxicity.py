@@ -8,7 +8,7 @@ clause by clause; every clause that yields an insult or a threat adds its weight
 for its path. Evidence, not lone words, goes into a logistic score whose weights are learned.
 
 Insults are learned from labelled texts: whole words and word beginnings that are far commoner in
-toxic texts, each with its log odds as weight. The grammar's function words are fixed lists.
+toxic texts, each with its log odds as weight, chosen one by one to explain the toxic texts. The grammar's function words are fixed lists.
 Learning takes a sample by hash of about `max_labelled` labelled ids; what it counts per word is
 gathered by Spark, and the driver gets the matches of the lexicon only.
 
@@ -184,22 +184,48 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def chosen(found: list) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings out of candidates, best first: none that a better beginning covers, and
-    none whose texts a better, longer form has nearly all of."""
+def chosen(candidates: list[tuple[str, bool, float, float]], texts: list[tuple[list[int], bool, int]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings that together explain the toxic texts, best first.
+
+    candidates: term, whether it is a beginning, weight, share of toxic texts among those with it.
+    texts: candidates present, toxic, number of such texts. A term joins for what it says about texts
+    that no chosen term is in yet; a clear one also for texts that only one is in.
+    """
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
-    texts: dict[str, int] = {}
-    for r in found:
-        term = r["term"]
-        if any(term[:k] in stems for k in STEMS) or any(t.startswith(term) and n >= 0.8 * r["toxic"] for t, n in texts.items()):
-            continue
-        (stems if r["stem"] else words)[term] = r["w"]
-        texts[term] = r["toxic"]
+    has = np.zeros((len(texts), len(candidates)), bool)
+    for row, (found, _, _) in zip(has, texts):
+        row[found] = True
+    many = np.array([n for _, _, n in texts], float)
+    bad = many * np.array([t for _, t, _ in texts])
+    good = many - bad
+    clear = np.array([c[3] >= 0.8 for c in candidates])
+    covered = np.zeros(len(texts), int)
+    share = (bad @ has) / max(1.0, bad.sum())
+    for k in np.flatnonzero((share >= 0.1) & (np.array([c[3] for c in candidates]) >= 0.9)):  # plain to see
+        if not any(c[0] != candidates[k][0] and c[0].startswith(candidates[k][0]) and share[j] >= 0.9 * share[k] for j, c in enumerate(candidates)):
+            (stems if candidates[k][1] else words)[candidates[k][0]] = candidates[k][2]
+            covered += has[:, k]
+    for depth in (1, 2):
+        open_terms = np.ones(len(candidates), bool) if depth == 1 else clear.copy()
+        while True:
+            left = covered < depth
+            n1, n0 = bad[left].sum(), good[left].sum()
+            c1, c0 = bad[left] @ has[left], good[left] @ has[left]
+            ratio = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 2) / (n0 + 4))
+            gain = np.where(open_terms & (c1 >= 3) & (ratio >= 4), c1 * np.log(np.maximum(ratio, 1e-9)), 0.0)
+            gain[[c[0] in (stems if c[1] else words) for c in candidates]] = 0
+            # Of equals the longer form is the clearer.
+            best = max(range(len(candidates)), key=lambda k: (round(gain[k], 6), len(candidates[k][0]), candidates[k][0]), default=None)
+            if best is None or gain[best] < 12:
+                break
+            term, stem, weight, _ = candidates[best]
+            (stems if stem else words)[term] = weight
+            covered += has[:, best]
     return words, stems
 
 
-def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, least_ratio: float = 4.0, max_terms: int = 500) -> Model:
+def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, least_ratio: float = 4.0, max_terms: int = 300) -> Model:
     """Model from a bounded table of labelled texts; toxic is 1 or 0. max_terms bounds the lexicon."""
     rows = settle(labelled.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic")))
     n1, n = (rows.where("toxic").count(), rows.count())
@@ -211,9 +237,21 @@ def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, l
     terms = parts.mapInArrow(_terms, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 2.0) / (n0 + 4))
     found = terms.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= math.log(least_ratio))
-    # The longer form is the clearer of equals.
     found = found.orderBy(F.desc(F.col("toxic") * F.col("w")), F.desc(F.length("term")), "term", "stem").limit(max_terms).collect()
-    lexicon = Lexicon(*chosen(found))
+    candidates = [(r["term"], r["stem"], r["w"], r["toxic"] / (r["toxic"] + r["clean"])) for r in found]
+    number = {c[:2]: k for k, c in enumerate(candidates)}
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                seen = set(WORD.findall((text or "").lower()))
+                keys = {*((w, False) for w in seen), *((w[:k], True) for w in seen for k in STEMS if len(w) > k)}
+                out.append(sorted(number[k] for k in keys if k in number))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), b.column(1)], ["terms", "toxic"])
+
+    texts = [tuple(r) for r in parts.mapInArrow(present, "terms array<int>, toxic boolean").groupBy("terms", "toxic").count().collect()]
+    lexicon = Lexicon(*chosen(candidates, texts))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,12 +268,16 @@ def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, l
     beta = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (many * (y - p)) - 0.5 * (beta - prior)
-        hessian = (design * (many * p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(len(beta))
+        gradient = design.T @ (many * (y - p)) - 2 * (beta - prior)
+        hessian = (design * (many * p * (1 - p))[:, None]).T @ design + 2 * np.eye(len(beta))
         move = np.linalg.solve(hessian, gradient)
         beta += move
         if np.abs(move).max() < 1e-10:
             break
+    beta[:-1] = np.maximum(beta[:-1], 0)
+    for path in ("negated", "reported"):  # rare, so what few texts say is bounded by the plain path
+        k = PATHS.index(path)
+        beta[k] = min(beta[k], beta[PATHS.index("plain")])
     return Model(lexicon, float(beta[-1]), beta[:-1])
 
 
