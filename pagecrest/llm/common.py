@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
-_cleaned: set[str] = set()
+#: Staging folder of each application of this process.
+_roots: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,24 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staging_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: in spark.checkpoint.dir, which every machine of a cluster
     sees. Only where that is unset (tests, one machine) a temporary folder takes its place."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="pagecrest-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    root = f"{shared.rstrip('/')}/pagecrest-{spark.sparkContext.applicationId}"
-    if root not in _cleaned:
-        _cleaned.add(root)
-        atexit.register(clear_staging, spark, root)
-    return root
-
-
-def clear_staging(spark: SparkSession, root: str) -> None:
-    """Removes this application's intermediate tables; does nothing once Spark has stopped."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="pagecrest-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        _roots[app] = f"{shared.rstrip('/')}/pagecrest-{app}"
+        atexit.register(clear_staging, spark)
+    return _roots[app]
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; nothing that reads them may still be in use.
+    Once Spark has stopped, only those in a folder that this machine sees can go."""
+    for app, root in list(_roots.items()):
+        if spark.sparkContext._jsc is None:
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif app == spark.sparkContext.applicationId:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            continue
+        del _roots[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
