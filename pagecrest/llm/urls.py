@@ -68,18 +68,20 @@ def hashed(host: str, path: str, bits: int, sizes: tuple[int, ...]) -> np.ndarra
 def fit(rows: list[tuple[str, str, int]], bits: int = 14, sizes: tuple[int, ...] = (3, 4, 5), ridge: float = 0.002, steps: int = 1500) -> np.ndarray:
     """Weights of the slots, the bias last, from (host, path, label): full gradient descent with the
     features of a URL scaled to length one. rows is small; every step uses them all."""
-    x = np.zeros((len(rows), (1 << bits) + 1))
-    for r, (host, path, _) in zip(x, rows):
-        at = hashed(host, path, bits, sizes)
-        r[at] = 1 / np.sqrt(max(1, len(at)))
+    found = [hashed(host, path, bits, sizes) for host, path, _ in rows]
+    slots = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))  # the others stay at zero
+    x = np.zeros((len(rows), len(slots) + 1))
+    for r, at in zip(x, found):
+        r[np.searchsorted(slots, at)] = 1 / np.sqrt(max(1, len(at)))
         r[-1] = 1
     y = np.array([r[2] for r in rows], float)
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w)))
-        grad = x.T @ (p - y) / max(1, len(y)) + ridge / max(1, len(y)) * np.r_[w[:-1], 0]
-        w -= 4.0 * grad
-    return w
+        w -= 4.0 * (x.T @ (p - y) + ridge * np.r_[w[:-1], 0]) / max(1, len(y))
+    out = np.zeros((1 << bits) + 1)
+    out[slots], out[-1] = w[:-1], w[-1]
+    return out
 
 
 def with_probability(pages: DataFrame, weights: np.ndarray, host: str = "host", path: str = "path", out: str = "probability", bits: int = 14, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
