@@ -14,8 +14,6 @@ repeated rows are rows like any other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
