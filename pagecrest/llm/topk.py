@@ -91,6 +91,8 @@ def search(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
             own = query_ids[rows][:, None] == ids[r.points][None, :]
             score[own] = none
             hit = (score >= best[rows, -1:]) & ~own
+            if score.shape[1] > k:  # nor can what is worse than the k-th here
+                hit &= score >= np.partition(score, -k, axis=1)[:, -k][:, None]
             live = hit.any(axis=1)
             if not live.any():
                 continue
