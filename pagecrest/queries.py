@@ -445,7 +445,7 @@ LINES = f"""l AS (SELECT conv_id, turn, role, unnest(range(len(x))) AS i, unnest
 
 
 def read_back(spark, sf_dir, fmt: str) -> DataFrame:
-    blocks = books_of(written(spark, sf_dir, fmt), "en").blocks()
+    blocks = books_of(written(spark, sf_dir, fmt), "en").persist().blocks()
     return blocks.select(conv_id(), "chapter_index", "block_index", "kind", "text")
 
 
@@ -465,13 +465,13 @@ def fb2_end_to_end(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT conv_id, chapter_index, CASE WHEN role = 'user' THEN 'Turn ' || turn END AS title, 0::BIGINT AS level FROM o")
 def epub_contents(spark, sf_dir):
-    return books_of(written(spark, sf_dir, "epub"), "en").chapters().select(conv_id(), "chapter_index", "title", "level")
+    return books_of(written(spark, sf_dir, "epub"), "en").persist().chapters().select(conv_id(), "chapter_index", "title", "level")
 
 
 @query("SELECT DISTINCT conv_id, 'Book ' || conv_id AS title, 'Writer ' || conv_id AS author, 'en' AS lang, true AS same FROM conversations")
 def metadata_parity(spark, sf_dir):
-    files = written(spark, sf_dir, "fb2").unionByName(written(spark, sf_dir, "epub"))
-    full, cheap = books_of(files, "de").books(), books_of(files, "de", metadata_only=True).books()
+    files = written(spark, sf_dir, "fb2").unionByName(written(spark, sf_dir, "epub")).persist()
+    full, cheap = books_of(files, "de").persist().books(), books_of(files, "de", metadata_only=True).persist().books()
     both = full.select("book_id", F.col("metadata").alias("a")).join(cheap.select("book_id", F.col("metadata").alias("b")), "book_id")
     rows = both.groupBy(conv_id()).agg(F.min(F.to_json("a") == F.to_json("b")).alias("same"), F.min("a.title").alias("title"), F.min(F.element_at("a.authors", 1)).alias("author"), F.min("a.source_language_code").alias("lang"))
     return rows.select("conv_id", "title", "author", "lang", "same")
@@ -486,7 +486,7 @@ def parse_result_kinds(spark, sf_dir):
         .when(kind == 3, F.replace(text, F.lit('encoding="utf-8"'), F.lit('encoding="x-none"'))).otherwise(F.concat(F.substring_index(text, "<body>", 1), F.lit("<body/></FictionBook>")))
     )
     files = written(spark, sf_dir, "fb2").withColumn("content", F.encode(damaged, "UTF-8"))
-    return books_of(files, "en").books().select(conv_id(), F.coalesce("failure.kind", F.lit("ok")).alias("kind"))
+    return books_of(files, "en").persist().books().select(conv_id(), F.coalesce("failure.kind", F.lit("ok")).alias("kind"))
 
 
 def small_epub(manifest: str, meta: str = "", files: dict[str, str] | None = None, body: str = "<p>x</p>", nav: str = "") -> bytes:
@@ -502,7 +502,7 @@ def small_epub(manifest: str, meta: str = "", files: dict[str, str] | None = Non
 
 def case_books(spark: SparkSession, cases: list[bytes], ending: str = "epub"):
     rows = [(f"{i}.{ending}", bytearray(c)) for i, c in enumerate(cases, 1)]
-    return books_of(values(spark, rows, "path string, content binary"), "en")
+    return books_of(values(spark, rows, "path string, content binary"), "en").persist()
 
 
 def case_id() -> Column:

@@ -74,7 +74,8 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 @dataclass
 class Books:
-    """Views over a corpus's events. Persist or write `events` before using several of them."""
+    """Views over a corpus's events. Each view that is run parses the files anew unless the events are
+    kept: `persist` keeps them in this application, `store` for good, which is what a large corpus wants."""
 
     events: DataFrame
     fallback_language: str
@@ -88,6 +89,12 @@ class Books:
         self.events = self.events.persist()
         return self
 
+    def store(self, path: str) -> Books:
+        """Writes the events once, in a folder for each kind, so that every table reads its own kinds
+        only: text queries never touch the bytes of images. Returns the books as stored."""
+        self.events.write.mode("overwrite").partitionBy("kind").parquet(path)
+        return stored_books(self.events.sparkSession, path, self.fallback_language)
+
     def _of(self, kind: str, fmt: str | None = None) -> DataFrame:
         rows = self.events.where(F.col("kind") == kind)
         return rows.where(F.col("format") == fmt) if fmt else rows
@@ -154,6 +161,11 @@ class Books:
             getattr(self, name)().createOrReplaceTempView(prefix + name)
 
 
+def stored_books(spark: SparkSession, path: str, fallback_language: str) -> Books:
+    """Books whose events were stored before."""
+    return Books(spark.read.schema(EVENTS).parquet(path), fallback_language)
+
+
 def read_books(spark: SparkSession, path: str, fallback_language: str, glob: str | None = None) -> Books:
     return Books(parse_events(read_files(spark, path, glob)), fallback_language)
 

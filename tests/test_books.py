@@ -162,6 +162,17 @@ def test_codec_round_trip(spark):
         assert not codec.decode(made.withColumn("json", broken), refs).first()["ok"]
 
 
+def test_stored_books(spark, tmp_path):
+    files = {"a.fb2": fb2(), "b.epub": epub([("a.xhtml", "<p>One. Two.</p><img src='i.png'/>")], [("A", "a.xhtml", 0)], files={"i.png": PNG}), "c.fb2": b"<x/>", "d": b"no book"}
+    books = corpus(spark, files).persist()
+    kept = books.store(str(tmp_path / "events"))
+    for name in ("books", "chapters", "blocks", "sentences", "words"):
+        assert sorted(map(str, getattr(kept, name)().collect())) == sorted(map(str, getattr(books, name)().collect()))
+    assert {bytes(r["bytes"]) for r in kept.images().collect()} == {PNG}
+    plan = kept.blocks()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan
+
+
 def test_block_codec(spark):
     rows = [("p", "a", None, None, None), ("h", "b", 2, None, None), ("img", None, None, "img3", "image/png")]
     made = spark.createDataFrame(rows, "kind string, text string, level int, ref string, media string").withColumn("json", codec.encode_block(*map(F.col, ("kind", "text", "level", "ref", "media"))))
