@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -196,7 +197,7 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", out: str =
     """docs with the number of tokens of each text."""
 
     @F.pandas_udf("long")
-    def count(texts):
+    def count(texts: pd.Series) -> pd.Series:
         bpe = load(path)
         return texts.map(lambda t: bpe.count(t) if t else 0).astype("int64")
 
@@ -207,7 +208,7 @@ def truncated(docs: DataFrame, path: str, budget: int, text: str = "text", out:
     """docs with the longest prefix of each text that has at most `budget` tokens; null for null."""
 
     @F.pandas_udf("string")
-    def cut(texts):
+    def cut(texts: pd.Series) -> pd.Series:
         bpe = load(path)
         return texts.map(lambda t: None if t is None else bpe.truncate(t, budget))
 
@@ -218,7 +219,7 @@ def prefix_tables(docs: DataFrame, path: str, text: str = "text", out: str = "pr
     """docs with the token count of every prefix of each text, by bytes; null for null."""
 
     @F.pandas_udf("array<int>")
-    def tables(texts):
+    def tables(texts: pd.Series) -> pd.Series:
         bpe = load(path)
         return texts.map(lambda t: None if t is None else bpe.prefix_table(t))
 

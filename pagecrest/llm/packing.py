@@ -141,7 +141,7 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         r = found.value
         key = r[:, 0] << 44 | r[:, 1]
         size, at = length.to_numpy(), rank.to_numpy()

@@ -51,3 +51,22 @@ def test_truncate(both):
             got = bpe.truncate(t, budget)
             best = max(i for i in range(len(t) + 1) if len(lib.encode(t[:i], add_special_tokens=False).ids) <= budget)
             assert got == t[:best]
+
+
+def test_columns(messy, none):
+    from pyspark.sql import functions as F
+
+    from pagecrest.llm import bpe
+
+    lib = Tokenizer.from_file(PATH)
+    out = bpe.truncated(bpe.with_token_counts(messy, PATH), PATH, 5)
+    assert out.columns == [*messy.columns, "n_tokens", "truncated"]
+    for r in out.collect():
+        text = r["text"]
+        assert r["n_tokens"] == len(lib.encode(text or "", add_special_tokens=False).ids)
+        assert (r["truncated"] is None) == (text is None)
+        assert text is None or text.startswith(r["truncated"])
+    short = messy.where(F.length("text") < 60)
+    for r in bpe.prefix_tables(short, PATH).collect():
+        assert r["prefix_tokens"][-1] == len(lib.encode(r["text"], add_special_tokens=False).ids)
+    assert bpe.with_token_counts(none, PATH).count() == 0
