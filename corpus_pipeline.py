@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecrest.llm import mixing, packing, quality, simhash, toxicity
+from pagecrest.llm import minhash, mixing, packing, quality, simhash, toxicity
 from pagecrest.llm.common import settle, table
 
 
@@ -26,8 +26,9 @@ def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates: texts whose five-word
+    shingles have a Jaccard similarity of 0.8 or more, and chains of such pairs."""
+    return simhash.keep_first(docs, minhash.dedup_groups(docs)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,114 @@
+"""Near duplicates by the Jaccard similarity of word shingles, verified exactly.
+
+Each text gets BANDS keys of ROWS minima each over the hashes of its shingles. Two texts at similarity
+s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.8 one pair in 10 ** 9 does not.
+Texts that share a key are candidates only; they are linked if their sets of shingles reach the least
+similarity, and a chain of such pairs joins them too.
+
+No group is compared all with all at first: each key's texts are put in an order of its own and each
+one is compared with the next, so no text takes part in more than 2 * BANDS pairs. Then every pair that
+shares a key and is not yet joined is compared, so the components are those of all candidate pairs.
+
+Defined results: null and empty texts count as one shingle of no words and are alike; texts with fewer
+words than a shingle are one shingle; words are compared in lower case (ASCII), as by the fingerprint.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from pagecrest.llm.common import components, settle
+
+SEED = 42
+BANDS, ROWS = 40, 4
+#: Shingles mixed at a time.
+CHUNK = 2048
+_random = np.random.default_rng(SEED)
+FLIPS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+ODDS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    words = (text or b"").lower().split()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) <= shingle:
+        return np.array([digest(join(words), SEED)], np.uint64)
+    grams = zip(*(words[k:] for k in range(shingle)))
+    return np.unique(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, len(words) - shingle + 1))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes; keys of different bands differ."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), CHUNK):
+        low = np.minimum(low, ((found[None, at : at + CHUNK] ^ FLIPS) * ODDS).min(axis=1))
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(src, dst) of the pairs (a, b) whose similarity is least[0] / least[1] or more."""
+    one = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    return pairs.join(one, "a").join(other, "b").where(both * least[1] >= either * least[0]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) of every row, as simhash.dedup_groups has them. least is
+    the least similarity, as a fraction."""
+
+    @F.pandas_udf("struct<keys:array<long>,n:long>")
+    def signature(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            found = [shingles(t, shingle) for t in part]
+            yield pd.DataFrame({"keys": [band_keys(f) for f in found], "n": [len(f) for f in found]})
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([shingles(t, shingle).view(np.int64) for t in part])
+
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
+    rows = settle(texts.select("doc_id", "text_hash", signature("text").alias("s")).select("doc_id", "text_hash", "s.*"))
+    names = rows.groupBy("text_hash").agg(F.min("doc_id").alias("low"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    names = settle(names)
+    dealt = names.select(F.col("text_hash").alias("node"), "n", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = settle(dealt.join(settle(shared), "key"))
+
+    def pairs(a, b, of: DataFrame) -> DataFrame:
+        sizes = F.least(a.n, b.n) * least[1] >= F.greatest(a.n, b.n) * least[0]
+        return settle(of.where(sizes & (a.node != b.node)).select(F.least(a.node, b.node).alias("a"), F.greatest(a.node, b.node).alias("b")).distinct())
+
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    chained = met.select(F.struct("node", "n").alias("one"), F.lead(F.struct("node", "n")).over(order).alias("two"))
+    first = pairs(F.col("one"), F.col("two"), chained)
+    used = settle(met.select("node").distinct()).withColumnRenamed("node", "text_hash")
+    one_each = texts.join(used, "text_hash", "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
+    sets = settle(one_each.select(F.col("text_hash").alias("node"), shingle_set("text").alias("found")))
+    edges = settle(_verified(first, sets, least))
+    joined = settle(components(edges))
+
+    # Whatever shares a key and is not joined by the chains: only keys with several components.
+    placed = settle(met.join(joined, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    open_ = settle(placed.join(mixed, "key", "left_semi"))
+    one = open_.select("key", F.struct("node", "n", "root").alias("one"))
+    two = open_.select("key", F.struct("node", "n", "root").alias("two"))
+    rest = pairs(F.col("one"), F.col("two"), one.join(two, "key").where("one.node < two.node and one.root <> two.root"))
+    more = _verified(rest.join(first, ["a", "b"], "left_anti"), sets, least)
+    linked = settle(components(edges.union(settle(more))))
+
+    joined = settle(names.join(linked, names.text_hash == linked.node, "left").select("text_hash", "low", F.coalesce("root", "text_hash").alias("root")))
+    least_id = settle(joined.groupBy("root").agg(F.min("low").alias("component_id")))
+    by_hash = settle(joined.join(least_id, "root").select("text_hash", "root", "component_id"))
+    return rows.select("doc_id", "text_hash").join(by_hash, "text_hash").select("doc_id", "text_hash", "root", "component_id")

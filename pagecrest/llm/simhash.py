@@ -228,7 +228,11 @@ def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest id stays, with all its
     columns; of rows equal in id and text one stays."""
-    groups = dedup_groups(docs, doc_id, text, **options)
+    return keep_first(docs, dedup_groups(docs, doc_id, text, **options), doc_id, text)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest id of each of the groups (doc_id, text_hash, root, component_id)."""
     keep = settle(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*"))
     h, a, b = (fresh(docs, x) for x in ("text_hash", "keep_id", "keep_hash"))
     keep = keep.toDF(a, b)
