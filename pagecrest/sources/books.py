@@ -44,6 +44,11 @@ def book_events(path: str, data: bytes, parsers: dict) -> tuple[str | None, list
         return kind, [Failure("corrupt", f"{(kind or 'book').upper()}: failed to read the file", str(e)).event()]
 
 
+def unread(size: int | None) -> Event:
+    """The failure of a file whose bytes are missing or too many."""
+    return Failure("corrupt", "the file has no content" if size is None else f"the file has {size} bytes, more than are read", None).event()
+
+
 def parse_events(files: DataFrame, metadata_only: bool = False) -> DataFrame:
     """Events of files (path, content): one row each, keyed by book_id, the path. Files that are no
     books have a single row of kind none."""
@@ -53,16 +58,16 @@ def parse_events(files: DataFrame, metadata_only: bool = False) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for k in range(batch.num_rows):
-                path, data = (batch.column(i)[k].as_py() for i in (0, 1))
-                kind, events = book_events(path, data or b"", parsers)
+                path, data, size = (batch.column(i)[k].as_py() for i in (0, 1, 2))
+                kind, events = book_events(path, data, parsers) if data is not None else (None, [unread(size)])
                 events = events or [Event("none")]
                 for at in range(0, len(events), 2000):
                     part = events[at : at + 2000]
                     cols = [[path] * len(part), [kind] * len(part), *([getattr(e, n) for e in part] for n in NAMES)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    small = files.where(F.octet_length("content") <= MOST_BYTES).select("path", "content")
-    return small.mapInArrow(run, schema)
+    size = F.octet_length("content")
+    return files.select("path", F.when(size <= MOST_BYTES, F.col("content")).alias("content"), size.alias("size")).mapInArrow(run, schema)
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
