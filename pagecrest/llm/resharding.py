@@ -156,8 +156,21 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, doc_id: str = "doc_id",
     moved = plan.where("old_shard <> shard")
     hit = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()})
     keep = plan if untouched else plan.where(F.col("shard").isin(hit))
-    h, s, i = (fresh(docs, x) for x in ("text_hash", "shard", "plan_id"))
-    places = keep.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("shard").alias(s)).distinct()
-    rows = docs.join(places, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h))).drop(i, h)
+    h, s, i, c = (fresh(docs, x) for x in ("text_hash", "shard", "plan_id", "copy"))
+    # Rows equal in id and text are numbered on both sides, so that each goes to one place.
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("shard"))
+    places = plan.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("shard").alias(s), copy.alias(c))
+    if not untouched:
+        places = places.where(F.col(s).isin(hit))
+    n, g = fresh(docs, "copy_no"), fresh(docs, "row_hash")
+    rows = docs.withColumn(g, F.xxhash64(text))
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(doc_id, g).orderBy(F.lit(0))))
+    rows = rows.join(places, F.col(doc_id).eqNullSafe(F.col(i)) & (F.col(g) == F.col(h)) & (F.col(n) == F.col(c))).drop(i, h, c, n, g)
     rows.write.partitionBy(s).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return sorted(r[0] for r in keep.select("shard").distinct().collect())
+    written = sorted(r[0] for r in keep.select("shard").distinct().collect())
+    # A shard that ends empty has no rows to overwrite its folder with.
+    spark = docs.sparkSession
+    for k in set(hit) - set(written):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{s}={k}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return written
