@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the document model counts it, for Java, RE2 and Python patterns.
@@ -40,21 +40,11 @@ def u16(x: Column) -> Column:
     return F.shiftright(F.octet_length(F.encode(x, "UTF-16BE")), 1)
 
 
-def split_fragment(href: Column) -> tuple[Column, Column]:
-    """Path and fragment at the first #; the fragment is null where there is none."""
-    return F.substring_index(href, "#", 1), F.when(F.instr(href, "#") > 0, F.regexp_extract(href, r"(?s)#(.*)\z", 1))
-
-
-def media_type_guess(path: Column) -> Column:
-    extension = F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
-    known = F.create_map(*(F.lit(x) for kv in MEDIA_TYPES.items() for x in kv))
-    return F.coalesce(F.try_element_at(known, extension), F.lit(OTHER_MEDIA))
-
-
-def author_name(first: Column, middle: Column, last: Column, nickname: Column) -> Column:
-    """Normalised name parts by one space, else the nickname, else null."""
-    part = lambda x: F.nullif(normalize_ws(F.coalesce(x, F.lit(""))), F.lit(""))
-    return F.coalesce(F.nullif(F.concat_ws(" ", part(first), part(middle), part(last)), F.lit("")), part(nickname))
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its source gives fewer: one task reads a file of one
+    row group, however much work its rows are. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 @lru_cache(1)

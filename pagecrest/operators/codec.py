@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagecrest.functions.segment import Segmenter, sentence_rows
+
 #: Fixed value: version of the shape; other versions are not read.
 VERSION = 1
 BLOCK = "struct<t:string,text:string,level:int,ref:string,mediaType:string>"
@@ -97,6 +99,14 @@ def decode(documents: DataFrame, images: DataFrame) -> DataFrame:
     return rows.select("book_id", "ok", F.when(F.col("ok"), F.col("d.metadata")).alias("metadata"), F.when(F.col("ok"), chapters).alias("chapters"))
 
 
+def decoded_sentences(decoded: DataFrame, abbreviations: tuple[str, ...] = (), segmenter: Segmenter | None = None) -> DataFrame:
+    """Sentences of what decode returns, by the rules for each document's language or by a caller's
+    segmenter: they are not stored, so they are cut anew."""
+    lang = decoded.where("ok").select("book_id", F.col("metadata.lang").alias("lang"))
+    rows = decoded_blocks(decoded).where("kind = 'p'").join(lang, "book_id")
+    return sentence_rows(rows, "book_id", "chapter_index", "block_index", "lang", lang=F.col("lang"), abbreviations=abbreviations, segmenter=segmenter)
+
+
 def decoded_blocks(decoded: DataFrame) -> DataFrame:
     """Block rows of what decode returns; chapters are numbered anew."""
     each = decoded.where("ok").select("book_id", F.explode("chapters").alias("c"))

@@ -17,7 +17,6 @@ from pagecrest.functions import text as T
 from pagecrest.operators import codec
 from pagecrest.operators.sample import body_sample
 from pagecrest.plans.chapters import assemble, chapter_blocks
-from pagecrest.sources import archive
 from pagecrest.sources.books import books_of
 from pagecrest.sources.writing import CONTAINER, as_files
 from pagecrest.sources.xhtml import html_blocks
@@ -51,10 +50,25 @@ def quoted(s: str) -> str:
 # Sentences and words
 
 
+def sql_steps(greek: bool, abbreviations: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Sentence boundaries by rewriting, as SQL can say it: marks go in after every run of stops, and out
+    again where a rule holds them back. Patterns without look-around, so not those of the engine."""
+    spaced, unspaced = ".!?…।॥؟۔։።" + (";\u037e" if greek else ""), "。！？．‼⁇⁈⁉།༎។။၊"
+    closing = "[\"'”’»›)\\]}」』〉》〕】）]*"
+    steps = [
+        (f"([{spaced}{unspaced}]*[{unspaced}][{spaced}{unspaced}]*{closing})", "\\1\x01"),
+        (f"([{spaced}]+{closing})([{T.WS}]|\\z)", "\\1\x02\\2"),
+        (f"(^|[^\\p{{L}}])(\\p{{L}}\\.{closing})\x02", "\\1\\2"),
+    ]
+    if abbreviations:
+        steps.append((f"(^|[^\\p{{L}}])((?i:{'|'.join(abbreviations)})\\.{closing})\x02", "\\1\\2"))
+    return [*steps, (f"\x02([{T.WS}]*\\p{{Ll}})", "\\1")]
+
+
 def sql_marked(x: str, greek: bool = False, abbreviations: tuple[str, ...] = ()) -> str:
     x = f"translate({x}, chr(1) || chr(2), '  ')"
-    for pattern, to in S.chain(greek, abbreviations):
-        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
+    for pattern, to in sql_steps(greek, abbreviations):
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to)}, 'g')"
     return x
 
 
@@ -73,7 +87,7 @@ def sql_sentences(source: str, keys: str, x: str = "text", greek: bool = False,
 
 
 def doc_sentences(spark, sf_dir, text: Column | None = None, lang=None, abbreviations=(), offsets=False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("text", F.col("text") if text is None else text)
+    docs = T.spread(table(spark, sf_dir, "documents").select("doc_id", (F.col("text") if text is None else text).alias("text")))
     return S.sentence_rows(S.paragraphs(docs, "doc_id"), "doc_id", "block_index", lang=lang, abbreviations=abbreviations, offsets=offsets)
 
 
@@ -102,7 +116,7 @@ def sentences_greek_hint(spark, sf_dir):
 
 @query(f"WITH {sql_sentences('documents', 'doc_id, lang')} SELECT lang, count(*)::BIGINT AS n_sentences, sum(length(text))::BIGINT AS n_chars FROM s GROUP BY lang")
 def sentence_counts_by_lang(spark, sf_dir):
-    rows = S.sentence_rows(S.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "lang"), "lang", offsets=False)
+    rows = S.sentence_rows(S.paragraphs(T.spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id", "lang"), "lang", offsets=False)
     return rows.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -120,10 +134,9 @@ def sql_words(keys: str) -> str:
         FROM (SELECT *, regexp_extract_all(text, {WORD}) AS l, regexp_split_to_array(text, {WORD}) AS g FROM s))"""
 
 
-@query(f"WITH {sql_sentences('benchmark', 'item_id')}, {sql_words('item_id')} SELECT item_id, block_index, sentence_index, word_index, text FROM w")
+@query(f"WITH {sql_sentences('documents', 'doc_id')}, {sql_words('doc_id')} SELECT doc_id, block_index, sentence_index, word_index, text FROM w")
 def words(spark, sf_dir):
-    rows = S.sentence_rows(S.paragraphs(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", "block_index")
-    return S.word_rows(rows, "item_id", "block_index").drop("start", "end")
+    return S.word_rows(doc_sentences(spark, sf_dir, offsets=True), "doc_id", "block_index").drop("start", "end")
 
 
 @query(f"""WITH {sql_sentences('conversations', 'conv_id, turn')}, {sql_words('conv_id, turn')},
@@ -138,7 +151,7 @@ def word_offsets(spark, sf_dir):
 @query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), {WORD})) AS word FROM documents)
     SELECT word, count(*)::BIGINT AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 100""")
 def word_freq_topk(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(S.word_pattern(False)), F.lit(0))).alias("word"))
+    found = T.spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(S.word_pattern(False)), F.lit(0))).alias("word"))
     return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -193,7 +206,7 @@ RUN = quoted(f"[{T.WS}]+")
 
 @query(f"SELECT page_id, trim(regexp_replace(html, {RUN}, ' ', 'g'), ' ') AS text FROM pages")
 def normalize_ws(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.normalize_ws(F.col("html")).alias("text"))
+    return T.spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.normalize_ws(F.col("html")).alias("text"))
 
 
 #: Tags that stand for each language of the documents, by id.
@@ -223,80 +236,10 @@ def language_histogram(spark, sf_dir):
     r AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
     SELECT doc_id, string_agg(t || chr(10), '' ORDER BY i) AS sample FROM r WHERE b < 600 GROUP BY doc_id""")
 def body_samples(spark, sf_dir):
-    blocks = S.paragraphs(table(spark, sf_dir, "documents"), "doc_id").withColumn("kind", F.lit("p"))
+    blocks = S.paragraphs(T.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").withColumn("kind", F.lit("p"))
     return body_sample(blocks, "block_index", key="doc_id", max_chars=600)
 
 
-@query("""SELECT c_custkey, coalesce(nullif(trim(concat_ws(' ', nullif(f, ''), nullif(m, ''), nullif(l, ''))), ''), n) AS author FROM (
-    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE string_split(c_name, '#')[1] END AS f, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE '' END AS m,
-    CASE WHEN c_custkey % 6 = 3 THEN '' ELSE nullif('', '') END AS l, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'nick ' || c_custkey END AS n FROM customer)""")
-def author_names(spark, sf_dir):
-    key = F.col("c_custkey")
-    first = F.when(key % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.element_at(F.split("c_name", "#"), 1), F.lit("\n")))
-    middle = F.when(key % 2 == 0, F.lower("c_mktsegment"))
-    nick = F.when(key % 9 != 0, F.concat(F.lit("nick\t "), key.cast("string")))
-    return table(spark, sf_dir, "customer").select("c_custkey", T.author_name(first, middle, F.lit(""), nick).alias("author"))
-
-
-@query("SELECT page_id, string_split(url, '#')[1] AS path, CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#') + 1) END AS fragment FROM pages")
-def split_fragment(spark, sf_dir):
-    path, fragment = T.split_fragment(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), fragment.alias("fragment"))
-
-
-ENDINGS = ["jpg", "JPEG", "png", "gif", "svg", "webp", "xhtml", ""]
-
-
-@query(f"""SELECT page_id, coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in T.MEDIA_TYPES.items())}}}[lower(list_extract([{', '.join(map(quoted, ENDINGS))}], (page_id % 8 + 1)::INT))], '{T.OTHER_MEDIA}') AS media_type FROM pages""")
-def media_type_guess(spark, sf_dir):
-    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", T.media_type_guess(F.concat(F.lit("a.b/c."), ending)).alias("media_type"))
-
-
-# Files
-
-
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'fb2' WHEN page_id % 5 = 1 THEN 'epub' WHEN page_id % 5 = 2 THEN 'epub' WHEN page_id % 5 = 3 THEN 'fb2' END AS format FROM pages")
-def format_detect(spark, sf_dir):
-    kind, html = F.col("page_id") % 5, F.col("html")
-    content = F.when(kind == 0, F.concat(F.lit('<?xml version="1.0"?>\0<Fiction\0Book>'), html)).when(kind == 1, F.concat(F.lit("PK\x03\x04"), html)).otherwise(html)
-    path = F.when(kind == 2, F.lit("a/b.EPUB")).when(kind == 3, F.lit("c.Fb2")).otherwise(F.lit("fb2.txt"))
-    return table(spark, sf_dir, "pages").select("page_id", archive.sniffed_format(path, content.cast("binary")).alias("format"))
-
-
-@query("SELECT page_id, page_id % 3 = 0 AS is_zip FROM pages")
-def zip_magic(spark, sf_dir):
-    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("PK\x03\x04"), "html")).otherwise(F.col("html")).cast("binary")
-    return table(spark, sf_dir, "pages").select("page_id", archive.is_zip(content).alias("is_zip"))
-
-
-ARCHIVES = [
-    (1, ["mimetype", "a.fb2"], "EpubArchive"), (2, ["x/META-INF/container.xml"], "EpubArchive"), (3, ["a.fb2", "__MACOSX/b.fb2", ".c.fb2", "readme.txt"], "WrappedBook"),
-    (4, ["readme.txt", "d/.fb2"], "NoBookInside"), (5, ["a.FB2", "d/b.epub"], "SeveralBooksInside"), (6, [], "NoBookInside"), (7, ["d/a.Epub"], "WrappedBook"),
-]
-
-
-@query(f"SELECT case_id, outcome FROM {sql_rows([(r[0], r[2]) for r in ARCHIVES], 'case_id, outcome')}")
-def archive_classify(spark, sf_dir):
-    rows = values(spark, [r[:2] for r in ARCHIVES], "case_id long, names array<string>")
-    return rows.select("case_id", archive.archive_outcome(F.col("names")).alias("outcome"))
-
-
-@query("SELECT doc_id, (length(text) - length(replace(text, 'e', '')))::BIGINT AS n_bad, (length(text) - length(replace(text, 'e', ''))) <= 0.02 * length(text) AS passes FROM documents")
-def utf8_damage(spark, sf_dir):
-    # Every e becomes a byte that UTF-8 does not allow.
-    read = F.make_valid_utf8(F.unhex(F.regexp_replace(F.hex(F.translate("text", "e", "\x7f")), "\\G((?:(?!7F)..)*)7F", "$1FF")).cast("string"))
-    bad = F.length(read) - F.length(F.replace(read, F.lit("�"), F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", bad.alias("n_bad"), (bad <= 0.02 * F.length(read)).alias("passes"))
-
-
-@query("""SELECT doc_id, length(regexp_replace(t, '[^а-яё]', '', 'g'))::BIGINT AS n_lower, length(regexp_replace(t, '[^Ѐ-ӿ]', '', 'g'))::BIGINT AS n_cyrillic
-    FROM (SELECT doc_id, translate(text, 'aeionrtsATEO', 'аеионртсАТЕО') AS t FROM documents)""")
-def cyrillic_case_share(spark, sf_dir):
-    t = F.translate("text", "aeionrtsATEO", "аеионртсАТЕО")
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit("[а-яё]")).alias("n_lower"), F.regexp_count(t, F.lit("[Ѐ-ӿ]")).alias("n_cyrillic"))
-
-
 # Pages
 
 BOX = "address|article|aside|blockquote|body|center|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|header|hr|li|main|nav|ol|p|pre|section|summary|table|ul|html"
@@ -320,7 +263,7 @@ def sql_page_blocks() -> str:
 
 
 def page_blocks(spark, sf_dir) -> DataFrame:
-    return html_blocks(table(spark, sf_dir, "pages"), "page_id")
+    return html_blocks(T.spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id")
 
 
 @query(f"WITH {sql_page_blocks()} SELECT * FROM b")
@@ -333,11 +276,6 @@ def xhtml_headings(spark, sf_dir):
     return page_blocks(spark, sf_dir).where("kind = 'h'").drop("kind")
 
 
-@query(f"WITH {sql_page_blocks()} SELECT page_id, text FROM b WHERE kind = 'p' AND contains(text, chr(10))")
-def xhtml_br_newline(spark, sf_dir):
-    return page_blocks(spark, sf_dir).where("kind = 'p'").where(F.contains("text", F.lit("\n"))).select("page_id", "text")
-
-
 @query(f"WITH {sql_page_blocks()} SELECT page_id, count(*)::BIGINT AS n_blocks, sum(length(text))::BIGINT AS n_chars FROM b GROUP BY page_id")
 def xhtml_title_skipped(spark, sf_dir):
     # Neither title nor script nor style of the head reaches a block.
@@ -615,17 +553,3 @@ def codec_roundtrip(spark, sf_dir):
 
 
 # Lines as verse, rows as cells
-
-
-@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-    n AS (SELECT doc_id, i, trim(regexp_replace(t, {RUN}, ' ', 'g'), ' ') AS t FROM l) SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS stanza FROM n WHERE t <> '' GROUP BY doc_id""")
-def stanza_join(spark, sf_dir):
-    lines = F.transform(F.split("text", "\n"), T.normalize_ws)
-    joined = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.nullif(joined, F.lit("")).alias("stanza")).where("stanza is not null")
-
-
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, array_to_string(list_filter([l_returnflag, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_linestatus END, l_partkey::VARCHAR], lambda x: x <> ''), ' ') AS line FROM lineitem")
-def table_row_join(spark, sf_dir):
-    cells = F.array("l_returnflag", F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.col("l_linestatus")), F.col("l_partkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.filter(cells, lambda x: x != ""), " ").alias("line"))

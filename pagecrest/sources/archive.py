@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Extensions of books, and of files worth importing.
 BOOK_EXTENSIONS = ("epub", "fb2")
 IMPORT_EXTENSIONS = (*BOOK_EXTENSIONS, "zip")
+#: The same as a glob, in any letter case, for read_books(glob=...).
+IMPORT_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in IMPORT_EXTENSIONS) + "}"
 ZIP_MAGIC = b"PK\x03\x04"
 OUTCOMES = ("NotAnArchive", "EpubArchive", "WrappedBook", "NoBookInside", "SeveralBooksInside")
 
@@ -61,26 +64,14 @@ def route(path: str, data: bytes) -> tuple[str | None, bytes]:
     return plain_format(path, data), data
 
 
-def is_zip(content: Column) -> Column:
-    return F.coalesce(F.substring(content, 1, 4) == F.lit(ZIP_MAGIC), F.lit(False))
+def inspected(files: DataFrame) -> DataFrame:
+    """(path, outcome, names) of files (path, content): what each archive is, and the base names of the
+    books inside. A null content is no archive."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file's bytes at a time
+                outcome, names, _ = inspect(batch.column(1)[k].as_py() or b"")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([outcome]), pa.array([names], pa.list_(pa.string()))], ["path", "outcome", "names"])
 
-def sniffed_format(path: Column, content: Column) -> Column:
-    """Format of a plain file by its first bytes, else by its extension, else null."""
-    head = F.lower(F.replace(F.decode(F.substring(content, 1, 512), "ISO-8859-1"), F.lit("\0"), F.lit("")))
-    ending = F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
-    return F.when(is_zip(content), "epub").when(F.contains(head, F.lit("<fictionbook")), "fb2").when(ending.isin(*BOOK_EXTENSIONS), ending)
-
-
-def book_entry(name: Column) -> Column:
-    """Whether an entry of an archive is a book."""
-    base = F.substring_index(name, "/", -1)
-    ending = F.lower(F.regexp_extract(base, r".\.([^.]*)\z", 1))
-    return ~F.startswith(name, F.lit("__MACOSX/")) & ~F.startswith(base, F.lit(".")) & ending.isin(*BOOK_EXTENSIONS)
-
-
-def archive_outcome(names: Column) -> Column:
-    """Outcome of an archive that could be listed, from the names of its files."""
-    books = F.size(F.filter(names, book_entry))
-    epub = F.exists(names, lambda n: (n == "mimetype") | F.endswith(n, F.lit("META-INF/container.xml")))
-    return F.when(epub, "EpubArchive").when(books == 0, "NoBookInside").when(books == 1, "WrappedBook").otherwise("SeveralBooksInside")
+    return files.select("path", "content").mapInArrow(run, "path string, outcome string, names array<string>")

@@ -7,7 +7,8 @@ The metadata path is another pass, which reads no more of a file than metadata n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import posixpath
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from pagecrest.functions.segment import sentence_rows, word_rows
+from pagecrest.functions.segment import Segmenter, sentence_rows, word_rows
 from pagecrest.functions.text import normalize_language, reduced_language
 from pagecrest.plans.chapters import assemble, chapter_blocks
 from pagecrest.sources import epub, fb2
@@ -26,22 +27,27 @@ from pagecrest.sources.events import NAMES, SCHEMA, Event, Failure
 FULL = {"epub": epub.parse, "fb2": fb2.parse}
 METADATA = {"epub": epub.parse_metadata, "fb2": fb2.parse_metadata}
 EVENTS = f"book_id string, format string, {SCHEMA}"
-#: Files beyond this size, packed, are a failure instead of a danger to their executor.
+#: Files beyond this size, packed, are a failure instead of a danger to their executor, unless the
+#: caller says otherwise (most_bytes). Arrow holds two GiB in a cell.
 MOST_BYTES = 1 << 30
+#: A parser of the caller: bytes in, events out; it raises Failure.
+Parser = Callable[[bytes], Iterable[Event]]
 
 
-def book_events(path: str, data: bytes, parsers: dict) -> tuple[str | None, list[Event]]:
-    """Format and events of one file; all of them or a single failure."""
+def book_events(path: str, data: bytes, parsers: dict[str, Parser]) -> tuple[str | None, list[Event]]:
+    """Format and events of one file; all of them or a single failure. A caller's parser has the files
+    with the extension that it is named by."""
     kind = None
     try:
-        kind, payload = route(path, data)
+        own = posixpath.splitext(path)[1][1:].lower()
+        kind, payload = (own, data) if own in parsers and own not in FULL else route(path, data)
         if kind is None:
             return None, []
         return kind, list(parsers[kind](payload))
     except Failure as e:
         return kind, [e.event()]
     except Exception as e:  # whatever a damaged file provokes is its own failure
-        return kind, [Failure("corrupt", f"{(kind or 'book').upper()}: failed to read the file", str(e)).event()]
+        return kind, [Failure("corrupt", f"the {kind or 'book'} file is damaged", str(e)).event()]
 
 
 def unread(size: int | None) -> Event:
@@ -49,10 +55,11 @@ def unread(size: int | None) -> Event:
     return Failure("corrupt", "the file has no content" if size is None else f"the file has {size} bytes, more than are read", None).event()
 
 
-def parse_events(files: DataFrame, metadata_only: bool = False) -> DataFrame:
-    """Events of files (path, content): one row each, keyed by book_id, the path. Files that are no
-    books have a single row of kind none."""
-    parsers, schema = METADATA if metadata_only else FULL, StructType.fromDDL(EVENTS)
+def parse_events(files: DataFrame, metadata_only: bool = False, most_bytes: int = MOST_BYTES, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """Events of files (path, content and, if the content was left out for its size, size): one row each,
+    keyed by book_id, the path. Files that are no books have a single row of kind none; files of over
+    most_bytes and those without content have a failure. parsers has a caller's own by extension."""
+    parsers, schema = (METADATA if metadata_only else FULL) | (parsers or {}), StructType.fromDDL(EVENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -66,15 +73,18 @@ def parse_events(files: DataFrame, metadata_only: bool = False) -> DataFrame:
                     cols = [[path] * len(part), [kind] * len(part), *([getattr(e, n) for e in part] for n in NAMES)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    size = F.octet_length("content")
-    return files.select("path", F.when(size <= MOST_BYTES, F.col("content")).alias("content"), size.alias("size")).mapInArrow(run, schema)
+    size = F.coalesce(F.octet_length("content").cast("long"), F.col("size") if "size" in files.columns else F.lit(None))
+    return files.select("path", F.when(size <= most_bytes, F.col("content")).alias("content"), size.alias("size")).mapInArrow(run, schema)
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files under a path as (path, content). All files count unless a glob is given: wrong and missing
-    extensions are common, and the bytes tell what a file is."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Files under a path as (path, content, size). All files count unless a glob is given, such as
+    archive.IMPORT_GLOB: wrong and missing extensions are common, and the bytes tell what a file is. Of
+    files of over most_bytes the content is never read, as the source takes a filter on the length."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    small = found.where(F.col("length") <= most_bytes).select("path", "content", F.col("length").alias("size"))
+    return small.unionByName(found.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"), F.col("length").alias("size")))
 
 
 @dataclass
@@ -117,7 +127,7 @@ class Books:
         filled = self._epub_chapters().where("to_block > from_block").select("book_id").distinct().withColumn("filled", F.lit(True))
         rows = rows.join(read, "book_id", "left").join(filled, "book_id", "left")
         empty = F.col("full") & F.col("filled").isNull() & F.col("failure").isNull()
-        none = F.struct(F.lit("emptyDocument").alias("kind"), F.lit("EPUB: parsing produced no content blocks in any chapter").alias("message"), F.lit(None).cast("string").alias("cause"))
+        none = F.struct(F.lit("emptyDocument").alias("kind"), F.lit("no document of the book has any text or image").alias("message"), F.lit(None).cast("string").alias("cause"))
         failure = F.when(empty, none).otherwise(F.col("failure"))
         return rows.select("book_id", "format", failure.isNull().alias("ok"), failure.alias("failure"), F.when(failure.isNull(), F.col("metadata")).alias("metadata"))
 
@@ -131,14 +141,14 @@ class Books:
         """book_id, chapter_index, title, level; a book without any block has none."""
         packed = self._epub_chapters()
         filled = packed.where("to_block > from_block").select("book_id").distinct()
-        mine = self._of("chapter", "fb2").select("book_id", F.col("pos").alias("chapter_index"), F.col("text").alias("title"), "level")
+        mine = self._of("chapter").select("book_id", F.col("pos").alias("chapter_index"), F.col("text").alias("title"), "level")
         return packed.join(filled, "book_id", "left_semi").select("book_id", "chapter_index", "title", "level").unionByName(mine)
 
     def blocks(self) -> DataFrame:
         """book_id, chapter_index, block_index, kind, text, heading_level, image_id."""
         rows = self._of("block").select("book_id", "format", "pos", "idx", F.col("sub").alias("block_kind"), "text", F.col("level").alias("heading_level"), F.col("name").alias("image_id"))
         packed = chapter_blocks(self._epub_chapters(), rows.where("format = 'epub'"))
-        flat = rows.where("format = 'fb2'").withColumnsRenamed({"pos": "chapter_index", "idx": "block_index"})
+        flat = rows.where("format <> 'epub'").withColumnsRenamed({"pos": "chapter_index", "idx": "block_index"})
         names = ["book_id", "chapter_index", "block_index", F.col("block_kind").alias("kind"), "text", "heading_level", "image_id"]
         return packed.select(*names).unionByName(flat.select(*names))
 
@@ -146,22 +156,20 @@ class Books:
         """book_id, image_id, media_type, bytes of the images that covers and blocks name."""
         return self._of("image").select("book_id", F.col("name").alias("image_id"), (F.coalesce("sub", F.lit("block")) == "cover").alias("as_cover"), F.col("media").alias("media_type"), F.col("data").alias("bytes"))
 
-    def sentences(self, abbreviations: tuple[str, ...] = (), segmenter: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-        """Sentences of paragraphs, by the rules for the book's language, or by a segmenter of the
-        caller: a function of text and language columns that gives array<struct<text,start,end>>."""
+    def sentences(self, abbreviations: tuple[str, ...] = (), segmenter: Segmenter | None = None) -> DataFrame:
+        """Sentences of paragraphs, by the rules for the book's language or by a caller's segmenter."""
         meta = self._of("meta").select("book_id", self._language(F.col("name")).alias("lang"))
         rows = self.blocks().where("kind = 'p'").join(meta, "book_id")
         keys = ("book_id", "chapter_index", "block_index", "lang")
-        if segmenter is None:
-            return sentence_rows(rows, *keys, lang=F.col("lang"), abbreviations=abbreviations)
-        cut = F.posexplode(segmenter(F.col("text"), F.col("lang"))).alias("sentence_index", "s")
-        return rows.select(*keys, cut).select(*keys, "sentence_index", "s.text", "s.start", "s.end")
+        return sentence_rows(rows, *keys, lang=F.col("lang"), abbreviations=abbreviations, segmenter=segmenter)
 
-    def words(self, abbreviations: tuple[str, ...] = ()) -> DataFrame:
-        return word_rows(self.sentences(abbreviations), "book_id", "chapter_index", "block_index", lang=F.col("lang"))
+    def words(self, abbreviations: tuple[str, ...] = (), segmenter: Segmenter | None = None, word_segmenter: Segmenter | None = None) -> DataFrame:
+        """Words of sentences; word_segmenter is a caller's, from the text of a sentence."""
+        return word_rows(self.sentences(abbreviations, segmenter), "book_id", "chapter_index", "block_index", lang=F.col("lang"), segmenter=word_segmenter)
 
     def register(self, prefix: str = "") -> None:
-        """The tables as temporary views, for SQL."""
+        """The tables as temporary views, for SQL. The events are kept first, so six views cost one parse."""
+        self.persist()
         for name in ("books", "chapters", "blocks", "images", "sentences", "words"):
             getattr(self, name)().createOrReplaceTempView(prefix + name)
 
@@ -171,15 +179,15 @@ def stored_books(spark: SparkSession, path: str, fallback_language: str) -> Book
     return Books(spark.read.schema(EVENTS).parquet(path), fallback_language)
 
 
-def read_books(spark: SparkSession, path: str, fallback_language: str, glob: str | None = None) -> Books:
-    return Books(parse_events(read_files(spark, path, glob)), fallback_language)
+def read_books(spark: SparkSession, path: str, fallback_language: str, glob: str | None = None, most_bytes: int = MOST_BYTES, parsers: dict[str, Parser] | None = None) -> Books:
+    return books_of(read_files(spark, path, glob, most_bytes), fallback_language, most_bytes=most_bytes, parsers=parsers)
 
 
-def books_of(files: DataFrame, fallback_language: str, metadata_only: bool = False) -> Books:
+def books_of(files: DataFrame, fallback_language: str, metadata_only: bool = False, most_bytes: int = MOST_BYTES, parsers: dict[str, Parser] | None = None) -> Books:
     """Books out of a table of (path, content)."""
-    return Books(parse_events(files, metadata_only), fallback_language)
+    return Books(parse_events(files, metadata_only, most_bytes, parsers), fallback_language)
 
 
-def read_book_metadata(spark: SparkSession, path: str, fallback_language: str, glob: str | None = None) -> DataFrame:
-    """book_id, format, ok, failure, metadata, by the path that reads no contents."""
-    return Books(parse_events(read_files(spark, path, glob), metadata_only=True), fallback_language).books()
+def read_book_metadata(spark: SparkSession, path: str, fallback_language: str, glob: str | None = None, most_bytes: int = MOST_BYTES, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """book_id, format, ok, failure, metadata, by the path that parses no contents."""
+    return books_of(read_files(spark, path, glob, most_bytes), fallback_language, True, most_bytes, parsers).books()

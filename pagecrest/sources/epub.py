@@ -75,7 +75,7 @@ class Container:
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(data))
         except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError) as e:
-            raise Failure("corrupt", "EPUB: not a readable zip archive", str(e)) from e
+            raise Failure("corrupt", "the zip directory of the book cannot be read", str(e)) from e
         self.entries = {tidy_path(i.filename): i for i in self.zip.infolist() if not i.is_dir()}
         self.read_names: list[str] = []
 
@@ -174,7 +174,7 @@ def opened(data: bytes) -> tuple[Container, Package]:
     container = Container(data)
     try:
         if is_locked(container):
-            raise Failure("drmProtected", "EPUB: the container declares encryption over publication resources (META-INF/encryption.xml or rights.xml)")
+            raise Failure("drmProtected", "the book is locked: more than its fonts is encrypted, or it has a rights file")
         xml, path = container.text("META-INF/container.xml"), None
         if xml is not None:
             try:
@@ -183,18 +183,18 @@ def opened(data: bytes) -> tuple[Container, Package]:
             except expat.ExpatError:
                 path = None
         if path is None:
-            raise Failure("corrupt", "EPUB: META-INF/container.xml is missing or names no rootfile")
+            raise Failure("corrupt", "no package path: META-INF/container.xml is absent or unreadable")
         path = resolve("", path)
         package = container.text(path)
         if package is None:
-            raise Failure("corrupt", f'EPUB: the container.xml rootfile "{path}" is not in the archive')
+            raise Failure("corrupt", f"the package {path} is missing from the zip")
         return container, read_package(package, path)
     except Failure:
         raise
     except expat.ExpatError as e:
-        raise Failure("corrupt", "EPUB: the OPF package document is not well-formed XML", str(e)) from e
+        raise Failure("corrupt", "the package is no XML", str(e)) from e
     except Exception as e:  # damage inside the archive
-        raise Failure("corrupt", "EPUB: failed to open the container", str(e)) from e
+        raise Failure("corrupt", "the container is damaged", str(e)) from e
 
 
 def metadata(container: Container, package: Package) -> Iterator[Event]:
@@ -307,7 +307,7 @@ def parse(data: bytes) -> Iterator[Event]:
             yield Event("image", name=name, media=media.get(name) or guess_media(name), data=container.read(name))
         yield Event("full")
     except Exception as e:  # damage inside an entry
-        raise Failure("corrupt", "EPUB: failed to read the package contents", str(e)) from e
+        raise Failure("corrupt", "an entry of the book is damaged", str(e)) from e
 
 
 def parse_metadata(data: bytes) -> Iterator[Event]:
@@ -318,4 +318,4 @@ def parse_metadata(data: bytes) -> Iterator[Event]:
         for name in container.read_names:
             yield Event("entry", name=name)
     except Exception as e:  # damage inside the cover's entry
-        raise Failure("corrupt", "EPUB: failed to read the package metadata", str(e)) from e
+        raise Failure("corrupt", "the entry of the cover is damaged", str(e)) from e

@@ -135,7 +135,7 @@ def _decoded(data: bytes) -> str:
     try:
         return decode_fb2(data)
     except UnsupportedEncoding as e:
-        raise Failure("encoding", f'FB2: declared encoding "{e}" has no codec in this package', str(e)) from e
+        raise Failure("encoding", f"no codec reads the declared encoding {e}", str(e)) from e
 
 
 def parse(data: bytes) -> Iterator[Event]:
@@ -144,9 +144,9 @@ def parse(data: bytes) -> Iterator[Event]:
     try:
         root = parse_xml(text)
     except expat.ExpatError as e:
-        raise Failure("corrupt", "FB2: not well-formed XML", str(e)) from e
+        raise Failure("corrupt", "the book is no XML", str(e)) from e
     if root.local != "FictionBook":
-        raise Failure("unsupportedFormat", f"FB2: root element is <{root.local}>, not <FictionBook>")
+        raise Failure("unsupportedFormat", f"the XML is a {root.local}, not a FictionBook")
     binaries = Binaries(root)
     description = root.first("description")
     meta, cover = description_events(description.first("title-info") if description else None)
@@ -156,7 +156,7 @@ def parse(data: bytes) -> Iterator[Event]:
         used[name] = None
     found = list(chapters(root, binaries))
     if not found:
-        raise Failure("emptyDocument", "FB2: parsing produced no content blocks in any section")
+        raise Failure("emptyDocument", "no section has any text or image")
     yield meta
     for at, (chapter, *blocks) in enumerate(found):
         chapter.pos = at
@@ -192,7 +192,7 @@ class MetadataReader:
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         name, depth = tag.rpartition(":")[2], len(self.path)
         if depth == 0 and name != "FictionBook":
-            raise Failure("unsupportedFormat", "FB2: root element is not <FictionBook>")
+            raise Failure("unsupportedFormat", "the XML is not a FictionBook")
         if self.tree is not None:
             self.tree.start(tag, attrs)
         elif depth == 2 and self.path[1] == "description" and name == "title-info" and not self.info_seen and not self.description_done:
@@ -251,7 +251,7 @@ def parse_metadata(data: bytes) -> Iterator[Event]:
                 pass
             reader.cover, reader.media = again.cover, again.media
     except expat.ExpatError as e:
-        raise Failure("corrupt", "FB2: metadata reader failed before the end of <description>", str(e)) from e
+        raise Failure("corrupt", "the description is no XML", str(e)) from e
     if reader.cover is not None:
         meta.cover = reader.wanted
         yield meta

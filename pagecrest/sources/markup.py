@@ -116,6 +116,10 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+TABLE_FRAME = {"table", "tbody", "thead", "tfoot", "tr"}
+TABLE_TAGS = TABLE_FRAME | {"td", "th", "caption", "colgroup", "body", "html"}
+IN_TABLE = TABLE_TAGS | {"col", "script", "style", "template", "form", "input"}
+BOXES = CLOSES_P | HEADINGS | TABLE_TAGS | set("button object select template noscript iframe textarea title script style".split())
 HEAD_ONLY = {"title", "meta", "link", "base", "style", "script", "head"}
 SELF_CLOSING = re.compile(r"""<(title|script|style|textarea)(\s(?:[^<>"']|"[^"]*"|'[^']*')*)?/>""")
 
@@ -127,7 +131,9 @@ def expand_self_closing(html: str) -> str:
 
 class HtmlTree(HTMLParser):
     """Tolerant tree of an HTML body: implied ends of paragraphs, items, rows and cells; tags that
-    nothing closes stay open to their parent's end. Misnested formatting keeps its text in order."""
+    nothing closes stay open to their parent's end; what may not stand in a table goes before it. The
+    end of an inline element inside a box that it was opened outside of leaves the box open. A node's
+    parent is the element that was open around it."""
 
     RAW = ("script", "style", "textarea", "title")
 
@@ -137,6 +143,7 @@ class HtmlTree(HTMLParser):
         self.body = Node("body", {}, self.root)
         self.root.children.append(self.body)
         self.at, self.in_head, self.raw = self.body, False, None
+        self.holders: dict[Node, Node] = {}  # of what went before a table
 
     def _close(self, tags: set[str], fence: set[str]) -> None:
         """Ends the innermost open element of `tags`, not looking past `fence`."""
@@ -176,7 +183,7 @@ class HtmlTree(HTMLParser):
                 self._open("tbody", {})
             if self.at.tag in ("tbody", "thead", "tfoot"):
                 self._open("tr", {})
-        node = self._open("img" if tag == "image" and not self._inside("svg") else tag, given)
+        node = self._open("img" if tag == "image" and not self._inside("svg") else tag, given, self.at.tag in TABLE_FRAME and tag not in IN_TABLE)
         if tag in VOID or (empty and self._inside("svg", "math")):
             self.at = node.parent
 
@@ -192,14 +199,28 @@ class HtmlTree(HTMLParser):
             node = node.parent
         return False
 
-    def _open(self, tag: str, attrs: dict[str, str]) -> Node:
+    def _open(self, tag: str, attrs: dict[str, str], outside: bool = False) -> Node:
         node = Node(tag, attrs, self.at)
         if self.in_head:
             node.tag = "head"  # nothing in the head is content
-        self.at.children.append(node)
+        self._put(node, outside)
         self.at = node
         return node
 
+    def _put(self, child: Node | str, outside: bool) -> None:
+        """Adds a child to the open element, or before the table that this is a part of."""
+        if not outside:
+            self.at.children.append(child)
+            return
+        table = self.at
+        while table.tag != "table" and table.parent is not None:
+            table = table.parent
+        holder = self.holders.get(table, table.parent) or self.body
+        at = next((k for k, c in enumerate(holder.children) if c is table), len(holder.children))
+        holder.children.insert(at, child)
+        if isinstance(child, Node):
+            self.holders[child] = holder
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
             self.in_head = False
@@ -214,13 +235,15 @@ class HtmlTree(HTMLParser):
             if node.tag in wanted:
                 self.at = node.parent
                 return
-            if node.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
+            if node.tag in ("td", "th", "caption", "table") and tag not in TABLE_TAGS:
+                return
+            if tag not in BOXES and node.tag in BOXES:
                 return
             node = node.parent
 
     def handle_data(self, data: str) -> None:
         if not self.in_head or self.at.tag == "head":
-            self.at.children.append(data)
+            self._put(data, self.at.tag in TABLE_FRAME and bool(data.strip()))
         elif data.strip():
             self.in_head = False
             self.at.children.append(data)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from builders import BYTES, PNG, binary, epub, fb2, zipped
+from builders import OTHER_PICTURE, PICTURE, binary, epub, fb2, zipped
 from pagecrest.operators import codec
 from pagecrest.operators.sample import body_sample
 from pagecrest.sources.books import books_of, read_book_metadata, read_books
@@ -51,8 +51,8 @@ def test_fb2_structure(spark):
 def test_epub_chapters(spark):
     docs = [("c/a.xhtml", '<h1 id="x">A</h1><p>a1<p>a2<h2 id="y">B</h2><p>b1</p>'), ("c/b.xhtml", "<p>loose</p>"), ("c/c.xhtml", None), ("c/toc.xhtml", "<p>contents</p>")]
     nav = [("Before", "c/a.xhtml#y", 0), ("First", "c/a.xhtml#x", 1), ("Lost", "c/a.xhtml#nope", 0), ("Gone", "c/c.xhtml", 1)]
-    for epub3 in (False, True):
-        got = outline(corpus(spark, {"a.epub": epub(docs, nav, epub3=epub3, guide="c/toc.xhtml")}))["a.epub"]
+    for modern in (False, True):
+        got = outline(corpus(spark, {"a.epub": epub(docs, nav, modern=modern, guide="c/toc.xhtml")}))["a.epub"]
         assert got == [
             ("First", 1, [("h", "A"), ("p", "a1"), ("p", "a2")]),
             ("Before", 0, [("h", "B"), ("p", "b1")]),
@@ -66,7 +66,7 @@ def test_xhtml_rules(spark):
         "<div>one<br/>two <b>bold</div><ul><li>x<li>y</ul><p>a<img src='i.png'/>b</p><table><caption>C</caption><tr><td>1<td>2</table>"
         "<ruby>漢<rt>kan</rt></ruby><script>no()</script><svg><image xlink:href='i.png'/><text>t</text></svg><h3>H <br>x</h3>"
     )
-    books = corpus(spark, {"a.epub": epub([("a.xhtml", body)], files={"i.png": PNG})})
+    books = corpus(spark, {"a.epub": epub([("a.xhtml", body)], files={"i.png": PICTURE})})
     kinds = [(r["kind"], r["text"] or r["image_id"]) for r in sorted(books.blocks().collect(), key=lambda r: r["block_index"])]
     assert kinds == [
         ("p", "one\ntwo bold"), ("p", "x"), ("p", "y"), ("p", "a"), ("img", "i.png"), ("p", "b"), ("p", "C"), ("p", "1 2"), ("p", "漢"),
@@ -81,10 +81,10 @@ def test_failures(spark):
         flipped[k] ^= 0xFF
     deep = "<section>" * 3000 + "<p>deep</p>" + "</section>" * 3000
     locked = '<encryption xmlns:e="x"><e:EncryptedData><e:EncryptionMethod Algorithm="aes"/><e:CipherData><e:CipherReference URI="{}"/></e:CipherData></e:EncryptedData></encryption>'
-    bomb = fb2().replace(b"<FictionBook", b'<!DOCTYPE x [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;&a;">]><FictionBook', 1).replace(b"Text of one.", b"&b;")
+    bomb = fb2().replace(b"<FictionBook", b'<!DOCTYPE x [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;&a;">]><FictionBook', 1).replace(b"A short line.", b"&b;")
     files = {
         "good.epub": good, "cut.epub": good[:100], "half.epub": good[: len(good) // 2], "flipped.epub": bytes(flipped), "bad.fb2": fb2()[:-30],
-        "wrong.fb2": b"<html/>", "enc.fb2": fb2(encoding="ebcdic-x", codec="utf-8"), "empty.fb2": fb2("<body><section/></body>"), "empty.epub": epub([("a.xhtml", "")]),
+        "wrong.fb2": b"<html/>", "enc.fb2": fb2(declared="ebcdic-x", codec="utf-8"), "empty.fb2": fb2("<body><section/></body>"), "empty.epub": epub([("a.xhtml", "")]),
         "no.container.epub": zipped({"mimetype": "x"}), "drm.epub": epub([("a.xhtml", "<p>x</p>")], files={"META-INF/encryption.xml": locked.format("a.xhtml")}),
         "font.epub": epub([("a.xhtml", "<p>x</p>")], files={"META-INF/encryption.xml": locked.format("f.TTF")}), "rights.epub": epub([("a.xhtml", "<p>x</p>")], files={"META-INF/rights.xml": "x"}),
         "deep.fb2": fb2(f"<body>{deep}</body>"), "bomb.fb2": bomb, "junk.bin": rng.randbytes(512), "none.zip": zipped({"a.txt": "x"}),
@@ -98,11 +98,11 @@ def test_failures(spark):
 
 
 def test_metadata_paths_agree(spark):
-    pics = binary("c", PNG, "image/png") + binary("c", BYTES)
+    pics = binary("c", PICTURE, "image/png") + binary("c", OTHER_PICTURE, "image/gif")
     files = {
-        "a.fb2": fb2(cover="#c", binaries=pics, lang="fr-FR"), "b.fb2": fb2(cover="#none"), "c.fb2": fb2(lang=None, authors="<author><nickname>Nick</nickname></author>"),
-        "early.fb2": fb2(cover="#c").replace(b"<description>", pics.encode() + b"<description>"), "d.epub": epub([("a.xhtml", "<p>x</p>")], cover=("p/c.png", PNG, "image/png", "meta"), language="ger"),
-        "e.epub": epub([("a.xhtml", "<p>x</p>")], cover=("c.png", PNG, "", "properties"), title=None, authors=()), "f.epub": epub([("a.xhtml", "<p>x</p>")], cover=("c.xhtml", b"x", "application/xhtml+xml", "id")),
+        "a.fb2": fb2(cover="#c", binaries=pics, lang="fr-FR"), "b.fb2": fb2(cover="#none"), "c.fb2": fb2(lang=None, writer="<author><nickname>Nick</nickname></author>"),
+        "early.fb2": fb2(cover="#c").replace(b"<description>", pics.encode() + b"<description>"), "d.epub": epub([("a.xhtml", "<p>x</p>")], picture=("p/c.png", PICTURE, 'id="k" media-type="image/png"', '<meta name="cover" content="k"/>'), head="<language>ger</language>"),
+        "e.epub": epub([("a.xhtml", "<p>x</p>")], picture=("c.png", PICTURE, 'id="k" properties="cover-image"', ""), head=""), "f.epub": epub([("a.xhtml", "<p>x</p>")], picture=("c.xhtml", b"x", 'id="cover" media-type="application/xhtml+xml"', "")),
         "zip.fb2.zip": zipped({"__MACOSX/x.fb2": "no", "dir/book.fb2": fb2(cover="#c", binaries=pics)}),
     }
     full, cheap = corpus(spark, files), corpus(spark, files, metadata_only=True)
@@ -112,22 +112,22 @@ def test_metadata_paths_agree(spark):
     assert meta["zip.fb2.zip"]["cover_image_id"] == "c" and meta["f.epub"]["cover_image_id"] is None and meta["b.fb2"]["cover_image_id"] is None
     covers = lambda b: {r["book_id"]: (r["media_type"], bytes(r["bytes"])) for r in b.images().collect()}
     assert covers(full) == covers(cheap)
-    assert covers(full)["early.fb2"] == ("image/png", PNG)
+    assert covers(full)["early.fb2"] == ("image/png", PICTURE)
 
 
 def test_metadata_ignores_damage_after_cover(spark):
     damaged = fb2()[:-40] + b"<p>"
     assert status(corpus(spark, {"a.fb2": damaged}))["a.fb2"][0] == "corrupt"
     assert status(corpus(spark, {"a.fb2": damaged}, metadata_only=True))["a.fb2"][0] == "ok"
-    read = corpus(spark, {"a.epub": epub([("a.xhtml", "<p>x</p>")], cover=("c.png", PNG, "image/png", "meta"))}, metadata_only=True)
-    assert {r["name"] for r in read.events.where("kind = 'entry'").collect()} == {"META-INF/container.xml", "content.opf", "c.png"}
+    read = corpus(spark, {"a.epub": epub([("a.xhtml", "<p>x</p>")], picture=("c.png", PICTURE, 'id="k" media-type="image/png"', '<meta name="cover" content="k"/>'))}, metadata_only=True)
+    assert {r["name"] for r in read.events.where("kind = 'entry'").collect()} == {"META-INF/container.xml", "pkg.opf", "c.png"}
 
 
 def test_encodings(spark):
     russian = "<body><section><p>Он пришёл домой и лёг спать.</p></section></body>"
     files = {
-        "1251": fb2(russian, encoding="windows-1251"), "koi": fb2(russian, encoding="koi8-r"), "16": fb2(russian, encoding="utf-16"),
-        "lie": fb2(russian, encoding="utf-8", codec="windows-1251"), "lie2": fb2(russian, encoding="utf-8", codec="koi8-r"), "bom": b"\xef\xbb\xbf" + fb2(russian),
+        "1251": fb2(russian, declared="windows-1251"), "koi": fb2(russian, declared="koi8-r"), "16": fb2(russian, declared="utf-16"),
+        "lie": fb2(russian, codec="windows-1251"), "lie2": fb2(russian, codec="koi8-r"), "bom": b"\xef\xbb\xbf" + fb2(russian),
     }
     books = corpus(spark, {f"{k}.fb2": v for k, v in files.items()})
     assert {r["text"] for r in books.blocks().collect()} == {"Он пришёл домой и лёг спать."}
@@ -143,11 +143,11 @@ def test_greek_language_seeds_sentences(spark):
 
 def test_codec_round_trip(spark):
     body = '<body><section><title><p>One</p></title><p>First. Second.</p><image l:href="#pic"/><p>After.</p></section><section><p>Two</p></section></body>'
-    books = corpus(spark, {"a.fb2": fb2(body, cover="#cover", binaries=binary("cover", BYTES, "image/jpeg") + binary("pic", PNG))}).persist()
+    books = corpus(spark, {"a.fb2": fb2(body, cover="#cover", binaries=binary("cover", OTHER_PICTURE, "image/jpeg") + binary("pic", PICTURE, "image/png"))}).persist()
     refs = codec.image_refs(books.books(), books.blocks(), books.images())
     made = codec.encode(books.books(), books.chapters(), books.blocks(), refs)
     assert json.loads(made.first()["json"]) == {
-        "v": 1, "metadata": {"title": "Test FB2", "authors": ["Anna Author"], "lang": "en", "cover": {"ref": "img0", "mediaType": "image/jpeg"}},
+        "v": 1, "metadata": {"title": "Hills", "authors": ["Ida Field"], "lang": "en", "cover": {"ref": "img0", "mediaType": "image/jpeg"}},
         "chapters": [
             {"title": "One", "level": 0, "blocks": [{"t": "h", "text": "One", "level": 1}, {"t": "p", "text": "First. Second."}, {"t": "img", "ref": "img1", "mediaType": "image/png"}, {"t": "p", "text": "After."}]},
             {"title": None, "level": 0, "blocks": [{"t": "p", "text": "Two"}]},
@@ -163,12 +163,12 @@ def test_codec_round_trip(spark):
 
 
 def test_stored_books(spark, tmp_path):
-    files = {"a.fb2": fb2(), "b.epub": epub([("a.xhtml", "<p>One. Two.</p><img src='i.png'/>")], [("A", "a.xhtml", 0)], files={"i.png": PNG}), "c.fb2": b"<x/>", "d": b"no book"}
+    files = {"a.fb2": fb2(), "b.epub": epub([("a.xhtml", "<p>One. Two.</p><img src='i.png'/>")], [("A", "a.xhtml", 0)], files={"i.png": PICTURE}), "c.fb2": b"<x/>", "d": b"no book"}
     books = corpus(spark, files).persist()
     kept = books.store(str(tmp_path / "events"))
     for name in ("books", "chapters", "blocks", "sentences", "words"):
         assert sorted(map(str, getattr(kept, name)().collect())) == sorted(map(str, getattr(books, name)().collect()))
-    assert {bytes(r["bytes"]) for r in kept.images().collect()} == {PNG}
+    assert {bytes(r["bytes"]) for r in kept.images().collect()} == {PICTURE}
     plan = kept.blocks()._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan
 

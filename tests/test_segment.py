@@ -1,6 +1,7 @@
 """Segmentation: examples by writing system, and the expressions against a plain scan."""
 
 import random
+import time
 import unicodedata
 
 import pytest
@@ -103,3 +104,18 @@ def test_offsets_are_utf16(spark):
     got = run(spark, [text]).select(S.sentences(F.col("t")).alias("s")).first()["s"]
     units = text.encode("utf-16-le")
     assert [units[2 * s["start"] : 2 * s["end"]].decode("utf-16-le") for s in got] == ["😀 One.", "😀 Two."]
+
+
+@pytest.mark.parametrize("cut", [S.sentences, S.words])
+def test_time_in_proportion_on_one_line(spark, cut):
+    # Half a million characters and two million in one line: four times the work, not sixteen.
+    def seconds(n: int) -> float:
+        line = spark.range(1).select(F.repeat(F.lit("One line ran on. "), n).alias("t")).cache()
+        line.count()
+        began = time.perf_counter()
+        last = line.select(F.explode(cut(F.col("t"))).alias("x")).agg(F.count("*"), F.max("x.end")).first()
+        assert last[1] == 17 * n - 2 + (cut is S.sentences)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(128_000) < 10 * seconds(32_000)

@@ -4,7 +4,7 @@ import pytest
 
 from builders import epub, fb2, zipped
 from pagecrest.sources import archive, encoding
-from pagecrest.sources.books import Books
+from pagecrest.sources.books import Books, read_files
 from pagecrest.sources.datasource import register
 from pagecrest.sources.epub import decode_full, resolve, split_fragment
 from pagecrest.streaming.imports import import_folder
@@ -61,3 +61,19 @@ def test_routing():
     assert archive.inspect(zipped({"a.fb2": b"", "d/b.epub": b""}))[:2] == ("SeveralBooksInside", ["a.fb2", "b.epub"])
     assert archive.inspect(zipped({"a.txt": b""}))[0] == "NoBookInside"
     assert archive.inspect(b"PK\x03\x04junk")[0] == "NotAnArchive" and archive.route("x.zip", b"PK\x03\x04junk")[0] == "epub"
+
+
+def test_import_glob(spark, tmp_path):
+    for name in ("a.EPUB", "b.fb2", "c.Zip", "d.txt", "zip"):
+        (tmp_path / name).write_bytes(fb2())
+    found = read_files(spark, str(tmp_path), archive.IMPORT_GLOB).select("path").collect()
+    assert {r["path"].rpartition("/")[2] for r in found} == {"a.EPUB", "b.fb2", "c.Zip"}
+
+
+def test_example(spark, tmp_path, capsys):
+    import runpy
+
+    (tmp_path / "a.fb2").write_bytes(fb2())
+    main = runpy.run_path("examples/open_books.py")["main"]
+    main(str(tmp_path))
+    assert "Hills" in capsys.readouterr().out
