@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import re
 import shutil
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and U+0009 to U+000D.
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def staging_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: in spark.checkpoint.dir, which every machine of a cluster
-    sees. Only where that is unset (tests, one machine) a temporary folder takes its place."""
+    sees. Where that is unset, a temporary folder takes its place if all of Spark runs in this process;
+    on a cluster that would scatter the rows over the machines, so there it is an error."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         if not shared:
             shared = tempfile.mkdtemp(prefix="pagecrest-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
@@ -57,7 +61,16 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more."""
+    for df in settled:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -91,12 +104,49 @@ def bucket_of_id(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: Keys that may be broadcast because each has more than this part of all rows.
+HOT_KEYS = 1000
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, n: int | None = None, least: int = 100_000) -> DataFrame:
+    """many joined with one, a settled table with one row a key. Keys with over `least` rows of many and over
+    a HOT_KEYS-th part of all of them do not gather in one task: there are fewer than HOT_KEYS of them,
+    so their rows of one are broadcast. many is read twice and should be settled."""
+    n = many.count() if n is None else n
+    if n <= least:
+        return many.join(one, key)
+    counts = many.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(least, n // HOT_KEYS))
+    hot = settle(one.join(F.broadcast(counts), key, "left_semi"))
+    if not hot.take(1):
+        return many.join(one, key)
+    cool = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one, key)
+    return many.join(F.broadcast(hot), key).unionByName(cool)
+
+
+def ranked(rows: DataFrame, by: list[str], spread: Column, pieces: int, order: list[Column], out: str) -> DataFrame:
+    """rows, which are settled, with `out`: each row's number among those alike in `by`, from 0. They are
+    dealt into pieces by the hash `spread`, so that no group, however large, is numbered in one task: a
+    piece's rows are counted first, then numbered from the sum of the counts before it."""
+    piece, before, row = (fresh(rows, x) for x in ("piece", "before", "row"))
+    dealt = rows.withColumn(piece, F.pmod(spread, F.lit(pieces)))
+    counts = dealt.groupBy(*by, piece).agg(F.count("*").alias(before))
+    sums = Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(counts.withColumn(before, F.coalesce(F.sum(before).over(sums), F.lit(0))))
+    own = Window.partitionBy(*by, piece).orderBy(*order)
+    numbered = dealt.withColumn(row, F.row_number().over(own) - 1)
+    same = [fresh(numbered, f"same_{k}") for k in range(len(by) + 1)]
+    counts = counts.select(*(F.col(c).alias(s) for c, s in zip([*by, piece], same)), before)
+    on = [F.col(c).eqNullSafe(F.col(s)) for c, s in zip([*by, piece], same)]
+    return numbered.join(counts, on).withColumn(out, (F.col(before) + F.col(row)).cast("long")).drop(piece, before, row, *same)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest node reachable from each node that has an edge: (node, root), longs.
 
     Alternating large-star and small-star steps: each step points neighbours at the smallest one
     known, so paths of any length halve, and no node's neighbours are ever gathered in one place:
-    minima are aggregates, partly done before the shuffle.
+    minima are aggregates, partly done before the shuffle, and a hub's edges meet its minimum by a
+    broadcast. What a step replaces is removed.
     """
     stars = settle(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -106,11 +156,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     while True:
         both = stars.union(stars.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_one(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settle(large.where("u <> v").distinct())
+        discard(low, stars)
         low = settle(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_one(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = settle(small.where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(low, large)
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             break

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecrest.llm.common import components, fresh, partitions, settle
+from pagecrest.llm.common import components, fresh, join_one, partitions, settle
 
 #: Shingles counted at a time, so that a text of any length needs bounded memory.
 CHUNK = 1 << 15
@@ -222,7 +222,7 @@ def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     joined = settle(joined)
     least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = settle(joined.select("fp", "root").join(settle(least), "root").select("fp", "component_id", "root"))
-    return rows.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return join_one(rows, by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

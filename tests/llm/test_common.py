@@ -2,6 +2,7 @@ import os
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagecrest.llm import common
@@ -23,7 +24,7 @@ class Bare:
         get = staticmethod(lambda key, default: default)
 
     class sparkContext:
-        applicationId, _jsc = "bare", None
+        applicationId, _jsc, master = "bare", None, "local[2]"
 
 
 def test_staging_without_the_setting():
@@ -38,6 +39,33 @@ def test_staging_without_the_setting():
     assert not os.path.exists(root)
 
 
+def test_a_cluster_needs_the_setting():
+    class Cluster(Bare):
+        class sparkContext:
+            applicationId, _jsc, master = "other", None, "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.staging_root(Cluster)
+
+
+def test_joins_of_hot_keys(spark):
+    many = common.settle(spark.range(9000).select(F.when(F.col("id") < 3000, F.lit(-1)).otherwise(F.col("id") % 700).alias("k"), F.col("id").alias("x")))
+    one = common.settle(spark.range(-1, 500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y")))
+    want = sorted(map(tuple, many.join(one, "k").collect()))
+    assert sorted((r["k"], r["x"], r["y"]) for r in common.join_one(many, one, "k", least=100).collect()) == want
+    common.discard(one)
+    assert not os.path.exists(one._settled_at.removeprefix("file://"))
+
+
+def test_ranks_within_groups(spark, messy):
+    rows = common.settle(messy.select("doc_id", "source", F.monotonically_increasing_id().alias("n")))
+    got = common.ranked(rows, ["source", "doc_id"], F.xxhash64("n"), 5, [F.col("n")], "rank").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["source"], r["doc_id"]), []).append(r["rank"])
+    assert len(got) == messy.count() and all(sorted(g) == list(range(len(g))) for g in groups.values())
+
+
 def test_words_and_buckets(spark, messy):
     gap = re.compile(r"[^\x20\x09-\x0D]+")
     texts = [None, "", " ", "a", " a\tb\x0bc\x0cd \n", "x\x85y\xa0z", "a\x1fb"]

@@ -16,13 +16,13 @@ def test_flow_moves_the_fewest_bytes():
         capacity = [rng.randint(0, 9) for _ in range(n)]
         if sum(supply) > sum(capacity):
             with pytest.raises(ValueError):
-                resharding.least_cost_flow(supply, capacity)
+                resharding.least_cost_flow(dict(enumerate(supply)), capacity)
             continue
-        flow = resharding.least_cost_flow(supply, capacity)
+        flow = resharding.least_cost_flow(dict(enumerate(supply)), capacity)
         assert [sum(f for (i, _), f in flow.items() if i == k) for k in range(m)] == supply
         assert all(sum(f for (_, j), f in flow.items() if j == k) <= capacity[k] for k in range(n))
         stay = sum(min(s, capacity[i]) for i, s in enumerate(supply) if i < n)  # no plan keeps more in place
-        assert sum(f for (i, j), f in flow.items() if i != j) == sum(supply) - stay
+        assert sum(f for (i, j), f in flow.items() if i != j) == sum(supply) - stay == resharding.least_moved(dict(enumerate(supply)), capacity)
 
 
 def checked(docs, shards=8, near=None, **options):
@@ -76,3 +76,71 @@ def test_rewrite(spark, tmp_path):
     assert 0 in done and 1 in done
     got = {(r["doc_id"], r["shard"]) for r in spark.read.parquet(str(tmp_path)).collect()}
     assert got == {(r["doc_id"], r["shard"]) for r in plan.collect() if r["shard"] in done}
+
+
+def moved(rows):
+    return sum(r["size"] for r in rows if r["old_shard"] != r["shard"])
+
+
+def test_flow_among_many_shards_is_quick():
+    supply = {i: 1000 + i * 7919 % 997 for i in range(1000)}
+    capacity = [-(-sum(supply.values()) // 900)] * 900
+    flow = resharding.least_cost_flow(supply, capacity)
+    assert sum(f for (i, j), f in flow.items() if i != j) == resharding.least_moved(supply, capacity)
+
+
+def test_generic_flow_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        arcs = [(a, b, rng.randint(0, 3), rng.randint(0, 3)) for a in range(4) for b in range(4) if a != b and b != 0 and a != 3]
+        net = resharding.Flow(4)
+        numbers = [net.arc(*x) for x in arcs]
+        net.solve(0, 3)
+        value = lambda f: sum(x for x, (a, _, _, _) in zip(f, arcs) if a == 0)
+        got = [net.sent(e) for e in numbers]
+        best = None
+        for f in itertools.product(*(range(r + 1) for _, _, r, _ in arcs)) if len(arcs) < 8 and all(r < 3 for _, _, r, _ in arcs) else ():
+            if all(sum(x for x, (a, _, _, _) in zip(f, arcs) if a == k) == sum(x for x, (_, b, _, _) in zip(f, arcs) if b == k) for k in (1, 2)):
+                key = (-value(f), sum(x * c for x, (_, _, _, c) in zip(f, arcs)))
+                best = min(best or key, key)
+        if best:
+            assert (-value(got), sum(x * c for x, (_, _, _, c) in zip(got, arcs))) == best
+
+
+@pytest.mark.parametrize("olds,news", [(6, 8), (8, 6), (1, 8), (5, 5)])
+def test_bytes_moved_are_near_the_bound(spark, olds, news):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = resharding.reshard(docs, F.pmod(F.xxhash64("text"), F.lit(olds)), news).collect()
+    total, supply = sum(r["size"] for r in rows), {}
+    for r in rows:
+        supply[r["old_shard"]] = supply.get(r["old_shard"], 0) + r["size"]
+    bound = resharding.least_moved(supply, [-(-total // news)] * news)
+    assert abs(moved(rows) - bound) <= 0.01 * total
+    load = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(news)]
+    assert max(load) - min(load) <= 0.02 * total / news
+
+
+def test_one_hot_text_in_forty_shards(spark):
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"))
+    rows = resharding.reshard(docs, F.lit(0), 40).collect()
+    load = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(40)]
+    assert min(load) > 0 and max(load) - min(load) <= 0.2 * sum(load) / 40
+
+
+def test_only_the_hot_text_is_cut(spark):
+    # A third of the bytes are one text, without ids; all texts that share its bucket stay whole.
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot " * 20)).otherwise(F.concat(F.lit("cold"), (F.col("id") % 2000).cast("string"), F.lit(" x" * 36)))
+    docs = spark.range(12_000).select(F.lit(None).cast("long").alias("doc_id"), hot.alias("text"))
+    rows = resharding.reshard(docs, F.pmod(F.xxhash64("text"), F.lit(4)), 8).collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r["text_hash"], set()).add(r["shard"])
+    assert sum(len(p) > 1 for p in places.values()) == 1
+    assert 3 <= max(map(len, places.values())) <= 7
+    load = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(8)]
+    assert max(load) - min(load) <= 0.05 * sum(load) / 8
+
+
+def test_null_and_unknown_old_shards(messy):
+    rows = resharding.reshard(messy, F.when(F.col("doc_id") > 5, F.lit(-7)).when(F.col("doc_id") == 4, F.lit(99)), 3).collect()
+    assert len(rows) == messy.count() and {r["shard"] for r in rows} <= {0, 1, 2} and {r["old_shard"] for r in rows} == {-1, -7, 99}

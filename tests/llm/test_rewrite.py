@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagecrest.llm import resharding
@@ -23,3 +24,17 @@ def test_repeated_rows_in_different_shards(spark, tmp_path):
     resharding.rewrite(docs, plan, str(tmp_path / "y"), untouched=True)
     got = Counter((r["doc_id"], r["shard"]) for r in spark.read.parquet(str(tmp_path / "y")).collect())
     assert got == Counter((r["doc_id"], r["shard"]) for r in plan.collect())
+
+
+@pytest.mark.parametrize("olds,news", [(4, 3), (3, 4), (4, 1)])
+def test_every_row_once_in_place(spark, tmp_path, olds, news):
+    path = str(tmp_path / "z")
+    rows = [(None if k % 7 == 0 else k // 2, None if k % 11 == 0 else f"text {k // 4}", "kept") for k in range(400)] + [(1, "same", "a")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_no string").withColumn("shard", F.pmod(F.xxhash64("text", "doc_id"), F.lit(olds)).cast("int")).cache()
+    docs.write.partitionBy("shard").parquet(path)
+    read = spark.read.parquet(path)
+    resharding.rewrite(read, resharding.reshard(read, F.col("shard"), news), path)
+    out = spark.read.parquet(path)
+    assert out.columns == ["doc_id", "text", "row_no", "shard"]
+    assert Counter(map(tuple, out.drop("shard").collect())) == Counter(rows)
+    assert {p.name for p in (tmp_path / "z").iterdir() if p.name.startswith("shard=")} == {f"shard={k}" for k in range(news)}
