@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,25 +49,54 @@ def test_repeated_ids(spark):
 def test_tree_covers():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(200, 3)), 5 + 0.01 * rng.normal(size=(300, 3)), np.zeros((100, 3))])
-    todo, leaves = [topk.cover_tree(x)], []
-    while todo:
-        node = todo.pop()
-        assert np.sqrt(((x[node.points] - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-9
+    tree, leaves = topk.cover_tree(x), 0
+    assert sorted(tree.order) == list(range(len(x)))
+    for _, node in tree.nodes():
+        points = x[tree.order[node.start : node.end]]
+        assert np.sqrt(((points - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-6
         if node.children:
-            assert sorted(p for c in node.children for p in c.points) == sorted(node.points)
+            assert [c.start for c in node.children] + [node.end] == [node.start] + [c.end for c in node.children]
+            assert all(c.radius <= node.radius / 2 + 1e-6 for c in node.children)
             assert (node.children[0].centre == node.centre).all()
         else:
-            leaves += list(node.points)
-        todo += node.children
-    assert sorted(leaves) == list(range(len(x)))
-
-
-def test_pruning_skips_far_clusters(monkeypatch):
-    x = np.concatenate([np.full((200, 2), 100.0) + np.arange(200)[:, None], np.full((2000, 2), -1000.0) + np.arange(2000)[:, None] % 40])
-    met = []
-    monkeypatch.setattr(topk.np, "broadcast_to", lambda a, s, f=np.broadcast_to: met.append(s) or f(a, s))
-    topk.search(x, np.arange(len(x)), x[:50], np.arange(50), 5)
-    assert sum(s[0] * s[1] for s in met) < 50 * len(x) / 2
+            assert len(points) <= topk.LEAF or (points == points[0]).all()
+            leaves += len(points)
+    assert leaves == len(x)
+
+
+def clustered(n=2048, width=64, spread=5.0):
+    rng = np.random.default_rng(0)
+    return np.floor(100 * rng.normal(size=(40, width))[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, width)))
+
+
+def test_wide_nodes_are_not_leaves():
+    # Vectors of no structure are all far apart: one level with as many children as points.
+    x = np.floor(64 * np.random.default_rng(2).normal(size=(500, 64)))
+    depths = Counter(d for d, _ in topk.cover_tree(x).nodes())
+    assert depths[0] == 1 and depths[1] > 400
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_pruning_in_many_dimensions(known):
+    x, stats = clustered(), Counter()
+    ids = np.arange(len(x))
+    scores = x[::20] @ x.T
+    scores[np.arange(len(scores)), ids[::20]] = -np.inf
+    seed = np.sort(scores, axis=1)[:, -20].astype(np.int64) if known else None
+    row, at, score = topk.search(x, ids, x[::20], ids[::20], 20, seed, stats)
+    want = {(q, int(i), int(s[i])) for q, s in enumerate(scores) for i in np.lexsort((ids, -s))[:20]}
+    assert set(zip(row.tolist(), at.tolist(), score.tolist())) == want
+    assert stats["left out"] > 0.9 * stats["pairs of points"] and stats["compared"] + stats["left out"] == stats["pairs of points"]
+    assert stats["data depth"] >= 2
+
+
+def test_cells_and_groups(spark):
+    # Many cells, cut cells and small query groups; most pairs of them are never searched.
+    x = clustered(1500, 16)
+    x[:400] = x[0]
+    rows = [(i, (v / 64).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, k=7, block_rows=50, query_rows=4, sample_rows=300) == plain(rows, 7)
 
 
 def test_sql(spark):
