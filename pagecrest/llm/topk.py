@@ -39,6 +39,8 @@ from pagecrest.llm.common import settle
 #: A node of no more points is a leaf: they are compared at once.
 LEAF = 16
 NONE = np.iinfo(np.int64).min
+#: Points whose distances are computed at a time.
+BATCH = 512
 #: Rows of queries that are compared with a list of data points at a time.
 ROWS = 256
 
@@ -74,7 +76,8 @@ class Tree:
 
 
 def _distances(x: np.ndarray, squares: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(squares - 2 * (x @ c) + c @ c, 0))
+    """Distances from each of the centres c to each row of x."""
+    return np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] - 2 * (c @ x.T) + squares, 0))
 
 
 def cover_tree(x: np.ndarray) -> Tree:
@@ -82,7 +85,7 @@ def cover_tree(x: np.ndarray) -> Tree:
     centre is its first child's. Nodes of few points or of equal ones are leaves."""
     squares = (x * x).sum(axis=1)
     order = np.arange(len(x))
-    root = Node(0, len(x), x[0], float(_distances(x, squares, x[0]).max()))
+    root = Node(0, len(x), x[0], float(_distances(x, squares, x[:1]).max()))
     todo = [root]
     while todo:
         node = todo.pop()
@@ -92,14 +95,19 @@ def cover_tree(x: np.ndarray) -> Tree:
         xs, sq = x[points], squares[points]
         owner, far = np.full(len(points), -1), np.zeros(len(points))
         centres: list[int] = []
-        for at in range(len(points)):
-            if owner[at] >= 0:
-                continue
-            d = _distances(xs, sq, xs[at])
-            mine = (owner < 0) & (d <= node.radius / 2)
-            mine[at] = True
-            owner[mine], far[mine] = len(centres), d[mine]
-            centres.append(at)
+        for first in range(0, len(points), BATCH):
+            open_ = first + np.flatnonzero(owner[first : first + BATCH] < 0)
+            d = _distances(xs, sq, xs[open_])
+            near = d <= node.radius / 2
+            alone = near.sum(axis=1) <= 1
+            for k, at in enumerate(open_.tolist()):
+                if owner[at] >= 0:
+                    continue
+                if not alone[k]:
+                    mine = np.flatnonzero(near[k] & (owner < 0))
+                    owner[mine], far[mine] = len(centres), d[k, mine]
+                owner[at], far[at] = len(centres), 0.0
+                centres.append(at)
         by = np.argsort(owner, kind="stable")
         order[node.start : node.end] = points[by]
         cuts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(centres)))]
@@ -307,10 +315,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     queries = settle(queries.select("d", F.col("cell").alias("q_cell"), group.alias("q_group"), "vec_id", "hash", "v"))
 
     def searched(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """Best rows of each pair (d, q_cell, q_group, cell, piece); asked has queries with scores known."""
-        key = ["d", "q_cell", "q_group", "cell", "piece"]
-        pairs = settle(pairs)
-        left = data.join(pairs, ["d", "cell", "piece"]).select(*key, "vec_id", "v")
+        """Best rows of each pair (d, q_cell, q_group, cell, piece); asked has queries with scores known.
+        Groups that meet the same data are searched together, up to about query_rows queries at a time."""
+        key = ["d", "cell", "piece", "bundle"]
+        sizes = asked.groupBy("d", "q_cell", "q_group").agg(F.count("*").alias("size"))
+        before = Window.partitionBy("d", "cell", "piece").orderBy("q_cell", "q_group").rowsBetween(Window.unboundedPreceding, -1)
+        bundle = F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / query_rows).cast("int")
+        pairs = settle(pairs.join(sizes, ["d", "q_cell", "q_group"]).withColumn("bundle", bundle))
+        left = data.join(pairs.select(*key).distinct(), key[:3]).select(*key, "vec_id", "v")
         right = asked.join(pairs, ["d", "q_cell", "q_group"]).select(*key, "vec_id", "hash", "v", "known")
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _pair(a, b, k), FOUND)
 
