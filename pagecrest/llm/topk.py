@@ -323,8 +323,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
         bundle = F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / query_rows).cast("int")
         pairs = settle(pairs.join(sizes, ["d", "q_cell", "q_group"]).withColumn("bundle", bundle))
         left = data.join(pairs.select(*key).distinct(), key[:3]).select(*key, "vec_id", "v")
-        right = asked.join(pairs, ["d", "q_cell", "q_group"]).select(*key, "vec_id", "hash", "v", "known")
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _pair(a, b, k), FOUND)
+        own = [F.col(c).alias(f"q_{c}") for c in key]
+        right = asked.join(pairs, ["d", "q_cell", "q_group"]).withColumnRenamed("q_cell", "from_cell").select(*own, "vec_id", "hash", "v", "known")
+        return left.groupBy(*key).cogroup(right.groupBy(*(f"q_{c}" for c in key))).applyInArrow(lambda a, b: _pair(a, b, k), FOUND)
 
     each = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     tried = spark.createDataFrame(first, "d int, q_cell int, groups int, cell int, piece int").withColumn("q_group", each("groups")).drop("groups")
