@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer maps each word to a symbol: insult, harm verb, intent, target, negation,
-reporting word, quotation mark or other. Grammar transducers then rewrite the insults: one marks
-those in the scope of a negation, one those in reported speech, one those aimed at a target, one
-makes a threat of intent, harm and target. They are composed into a single machine, which reads
-clause by clause; every clause that yields an insult or a threat adds its weight to the evidence
-for its path. Evidence, not lone words, goes into a logistic score whose weights are learned.
+A lexicon transducer maps each word to a symbol: insult, harm verb, intent, second or third person,
+negation, reporting word or other; quotation marks, commas, colons, sentence ends and line ends have
+symbols too. Grammar transducers then rewrite the insults: one marks those in the scope of a negation,
+which goes to the next comma, colon, contrast or sentence end; one those in reported speech, which goes
+from a reporting word over a colon to the sentence's end or lasts as long as a quotation; one those
+aimed at somebody named before in the sentence, or addressed after; one makes a threat of intent, harm
+and person, close together. They are composed into a single machine; every sentence that yields an
+insult or a threat adds its weight to the evidence for its path. Evidence, not lone words, goes into a
+logistic score whose weights are learned.
 
 Insults are learned from labelled texts: whole words and word beginnings that are far commoner in
 toxic texts, each with its log odds as weight, chosen one by one to explain the toxic texts. The grammar's function words are fixed lists.
@@ -34,22 +37,37 @@ from pyspark.sql import functions as F
 
 from pagecrest.llm.common import settle
 
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]|[.!?;:\n]")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„‟]|[.!?;:,\n…]")
 WORD = re.compile(r"[^\W\d_]+")
 #: Function words of the grammar, in English, German, French and Spanish.
-TARGETS = "you your yours yourself they them their he him his she her we us all everyone people du dich dir dein deine euch ihr sie ihn tu te toi ton ta tes vous votre vos ils elles il elle les tú ti tu tus usted ustedes él ella ellos ellas os"
-NEGATIONS = "not no never none nor cannot can't don't doesn't didn't isn't aren't wasn't won't nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca jamás ningún ninguna"
-REPORTS = "said says say told tells called calls wrote writes claimed claims quoted quote quotes reported sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió"
-INTENTS = "will gonna going shall must should would i'll we'll werde werden wird vais va allons vont voy vamos va"
-HARMS = "kill hurt destroy beat shoot stab murder burn hang töten schlagen umbringen verletzen tuer frapper détruire matar golpear destruir"
-CLASSES = {w: s for s, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", INTENTS), ("H", HARMS)) for w in words.split()}
-#: Words after a negation that are in its scope.
-SCOPE = 3
+ADDRESSED = "you your yours yourself yourselves you're you'll du dich dir dein deine deinen deiner euch ihr euer eure tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros"
+PERSONS = "he him his she her they them their theirs we us everyone everybody people er ihn ihm sie ihnen alle jeder il elle lui ils elles eux leur tous él ella ellos ellas todos"
+NEGATIONS = "not no never none nor neither cannot can't don't doesn't didn't isn't aren't wasn't weren't won't wouldn't nicht kein keine keinen keiner nie niemals ne n'es n'est n'êtes pas jamais aucun aucune ni nunca jamás ningún ninguna"
+REPORTS = "said says say saying told tells called calls calling wrote writes claimed claims quoted quote quotes reported reports shouted sagte sagt sagen nannte nennt schrieb schreibt rief zitierte dit disait dire appelé appelle écrit écrivait cite crié dijo dice decir llamó llama escribió escribe gritó"
+INTENTS = "will gonna going shall must should would want wanna i'll we'll i'd werde werden wird will wollen müssen soll vais va allons vont veux voulons dois voy vamos van quiero queremos debo"
+CONTRASTS = "but yet aber sondern doch mais pero sino"
+#: Harm verbs: beginnings, and what may follow them.
+HARMS = {
+    "kill": " s ed ing er", "hurt": " s ing", "destroy": " s ed ing", "beat": " s en ing", "shoot": " s ing", "shot": "", "stab": " s bed bing", "murder": " s ed ing", "burn": " s ed ing t", "hang": " s ed ing", "strangl": "e es ed ing",
+    "töte": " n t st te ten", "getötet": "", "schlag": "e en", "schläg": "t st", "geschlagen": "", "umbring": "e en t", "umgebracht": "", "verletz": "e en t", "erschieß": "e en t", "verbrenn": "e en t",
+    "tue": " r s z rai ra rons", "tué": " e s", "frappe": " r s z rai ra", "détrui": "re s t rai", "brûle": " r rai", "mata": " r ré rá remos", "mato": "", "matemos": "", "golpea": " r ré rá", "destrui": "r ré rá", "quema": " r ré rá",
+}
+CLASSES = {w: s for s, words in (("T", PERSONS), ("Y", ADDRESSED), ("N", NEGATIONS), ("R", REPORTS), ("M", INTENTS), ("C", CONTRASTS)) for w in words.split()}
+CLASSES |= {stem + end.strip(): "H" for stem, ends in HARMS.items() for end in (ends.split(" ") if ends else [""])}
+CLASSES |= dict.fromkeys('"“”«»„‟', "Q") | dict.fromkeys(".!?;…", "S") | {",": "C", ":": "K", "\n": "P"}
+#: I insult, T and Y third and second person, N negation, R report, M intent, H harm, Q quotation mark, C comma
+#: or contrast, K colon, S end of a sentence, P end of a line, O other.
+SYMBOLS = "ITYNRMHQCKSPO"
+#: Other words that may stand between intent and harm, and between harm and person.
+NEAR, NEXT = 3, 2
 PATHS = ("plain", "negated", "reported", "targeted", "threat")
 #: Lengths of word beginnings that may be learned.
 STEMS = range(4, 9)
 #: Evidence: of each path the logarithm of its clauses' weights, and how dense they are.
 N_EVIDENCE = len(PATHS) + 1
+OUTPUTS = {"I": "plain", "i": "negated", "r": "reported", "j": "targeted", "X": "threat"}
+#: Weight of a threat.
+THREAT = 4.0
 
 
 @dataclass
@@ -81,21 +99,46 @@ def compose(first: Transducer, second: Transducer, symbols: str) -> Transducer:
     return out
 
 
+def grammar_parts() -> list[Transducer]:
+    """The transducers in the order in which they apply. Symbols out: I plain, i negated, r reported,
+    j targeted insult, U what makes the sentence's plain insults targeted, X threat, the rest as
+    they are."""
+    # From a negation to the end of its clause.
+    negation = Transducer({(0, "N"): ("N", 1), (1, "I"): ("i", 1), (1, "H"): ("O", 1)} | {(1, s): (s, 0) for s in "CKSP"})
+    # After a reporting word, and within a quotation, whose end is the speech's end.
+    report = Transducer({(0, "R"): ("R", 1), (1, "S"): ("S", 0), (1, "P"): ("P", 0), (2, "P"): ("P", 0), (2, "Q"): ("Q", 0)})
+    for k in (0, 1):
+        report.arcs[k, "Q"] = ("Q", 2)
+    for k in (1, 2):
+        report.arcs |= {(k, "I"): ("r", k), (k, "i"): ("r", k), (k, "H"): ("O", k)}
+    # With a person before, or an insult that waits for one to be addressed.
+    target = Transducer({(0, "T"): ("T", 1), (0, "Y"): ("Y", 1), (1, "I"): ("j", 1), (0, "I"): ("I", 2), (2, "Y"): ("U", 1)})
+    target.arcs |= {(k, s): (s, 0) for k in (1, 2) for s in "SP"}
+    # Intent, harm and person, or intent, person and harm, with few other words between.
+    threat = Transducer()
+    after = 1 + NEAR + 1  # the state behind a harm verb
+    named = after + NEXT  # with a person since the intent, state k is named + k
+    for k in range(named + after):
+        threat.arcs |= {(k, s): (s, 0) for s in "CKSP"} | {(k, "M"): ("M", 1)}
+    for k in range(1, after):
+        threat.arcs[k, "H"] = ("H", after)
+        threat.arcs[named + k, "H"] = ("X", 0)
+        if k + 1 < after:
+            threat.arcs |= {(k, s): (s, named + k + 1) for s in "TYU"}
+            threat.other |= {k: k + 1, named + k: named + k + 1}
+        else:
+            threat.other |= {k: 0, named + k: 0}
+    for k in range(after, after + NEXT + 1):
+        threat.arcs |= {(k, s): ("X", 0) for s in "TYU"}
+        threat.other[k] = k + 1 if k < after + NEXT else 0
+    return [negation, report, target, threat]
+
+
 def grammar() -> Transducer:
-    """Symbols in: I insult, T N R M H Q as above, O other. Out: I plain, i negated, r reported,
-    j targeted insult, X threat, the rest as they are."""
-    negation = Transducer()
-    for k in range(SCOPE + 1):
-        negation.arcs[k, "N"] = ("N", SCOPE)
-        if k:
-            negation.arcs[k, "I"] = ("i", k - 1)
-            negation.arcs[k, "H"] = ("O", k - 1)
-            negation.other[k] = k - 1
-    report = Transducer({(0, "R"): ("R", 1), (0, "Q"): ("Q", 1), (1, "I"): ("r", 1), (1, "i"): ("r", 1), (1, "H"): ("O", 1)})
-    target = Transducer({(0, "T"): ("T", 1), (1, "I"): ("j", 1)})
-    threat = Transducer({(0, "M"): ("M", 1), (1, "H"): ("H", 2), (2, "T"): ("X", 0), (2, "H"): ("H", 2)})
-    symbols = "ITNRMHQO"
-    return compose(compose(compose(negation, report, symbols), target, symbols), threat, symbols)
+    out, *rest = grammar_parts()
+    for part in rest:
+        out = compose(out, part, SYMBOLS)
+    return out
 
 
 class Lexicon:
@@ -105,7 +148,7 @@ class Lexicon:
         self.words, self.stems = words, stems
         self.machine = grammar()
         finder = ahocorasick.Automaton()
-        for w in {*words, *stems, *HARMS.split()}:
+        for w in {*words, *stems, *HARMS}:
             finder.add_word(w, w)
         finder.make_automaton()
         self.finder = finder if len(finder) else None
@@ -116,37 +159,34 @@ class Lexicon:
             w = max(w, self.stems.get(word[:k], 0.0))
         return w
 
+    def symbol(self, token: str) -> tuple[str, float]:
+        """What the lexicon makes of a token, and an insult's weight."""
+        w = self.weight(token)
+        return ("I", w) if w else (CLASSES.get(token, "O"), 0.0)
+
     def evidence(self, text: str) -> tuple[np.ndarray, list[tuple[int, int, str, float]]]:
-        """Evidence for each path, and the matched clauses: start, end, path, weight."""
+        """Evidence for each path, and the matched sentences: start, end, path, weight."""
         total, spans, hits = np.zeros(N_EVIDENCE), [], 0
         low = text.lower()
         if next(self.finder.iter(low), None) is None:
             return total, spans
-        step, state, start = self.machine.arcs, 0, 0
+        step, state, start, end = self.machine.arcs, 0, 0, 0
         found: Counter[str] = Counter()
-        end = 0
         for m in TOKEN.finditer(low):
-            t = m[0]
-            if t in ".!?;:\n":
-                for path, w in found.items():
-                    spans.append((start, end, path, w))
+            symbol, w = self.symbol(m[0])
+            out, state = step[state, symbol]
+            if symbol in "SP":
+                spans += [(start, end, path, w) for path, w in found.items()]
                 found.clear()
-                state, start = 0, m.end()
+                start = m.end()
                 continue
             end = m.end()
-            if t in '"“”«»„':
-                symbol = "Q"
-            elif w := self.weight(t):
-                symbol = "I"
-            else:
-                symbol = CLASSES.get(t, "O")
-            out, state = step[state, symbol]
-            if out in "IirjX":
-                path = {"I": "plain", "i": "negated", "r": "reported", "j": "targeted", "X": "threat"}[out]
-                found[path] += w if symbol == "I" else 4.0
+            if out == "U":  # the insults before were aimed at whom this addresses
+                found["targeted"] += found.pop("plain", 0.0)
+            elif path := OUTPUTS.get(out):
+                found[path] += w if symbol == "I" else THREAT
                 hits += 1
-        for path, w in found.items():
-            spans.append((start, end, path, w))
+        spans += [(start, end, path, w) for path, w in found.items()]
         for _, _, path, w in spans:
             total[PATHS.index(path)] += w
         total[-1] = 100 * hits / max(1, len(low.split()))
@@ -225,8 +265,19 @@ def chosen(candidates: list[tuple[str, bool, float, float]], texts: list[tuple[l
     return words, stems
 
 
-def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, least_ratio: float = 4.0, max_terms: int = 300) -> Model:
-    """Model from a bounded table of labelled texts; toxic is 1 or 0. max_terms bounds the lexicon."""
+def folded(found: list) -> list:
+    """Candidates, of which those that begin another one and are as often in toxic and in clean texts
+    are left out: the longer form says the same more clearly."""
+    longer: dict[tuple[int, int], list[str]] = {}
+    for r in found:
+        longer.setdefault((r["toxic"], r["clean"]), []).append(r["term"])
+    alike = lambda r: (t for t in longer[r["toxic"], r["clean"]] if t.startswith(r["term"]))
+    return [r for r in found if not any(len(t) > len(r["term"]) for t in alike(r))]
+
+
+def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, least_ratio: float = 4.0, max_terms: int = 500) -> Model:
+    """Model from a bounded table of labelled texts; toxic is 1 or 0. max_terms bounds the candidates of
+    the lexicon, where a word and its beginnings that are in the same texts are one."""
     rows = settle(labelled.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic")))
     n1, n = (rows.where("toxic").count(), rows.count())
     n0 = n - n1
@@ -237,8 +288,8 @@ def fit(labelled: DataFrame, text: str, toxic: str, least_share: float = 0.02, l
     terms = parts.mapInArrow(_terms, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 2.0) / (n0 + 4))
     found = terms.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= math.log(least_ratio))
-    found = found.orderBy(F.desc(F.col("toxic") * F.col("w")), F.desc(F.length("term")), "term", "stem").limit(max_terms).collect()
-    candidates = [(r["term"], r["stem"], r["w"], r["toxic"] / (r["toxic"] + r["clean"])) for r in found]
+    found = found.orderBy(F.desc(F.col("toxic") * F.col("w")), F.desc(F.length("term")), "term", "stem").limit((len(STEMS) + 1) * max_terms).collect()
+    candidates = [(r["term"], r["stem"], r["w"], r["toxic"] / (r["toxic"] + r["clean"])) for r in folded(found)[:max_terms]]
     number = {c[:2]: k for k, c in enumerate(candidates)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

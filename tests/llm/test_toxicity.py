@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,18 +13,88 @@ def paths(text):
     return [(p, w) for _, _, p, w in LEXICON.evidence(text)[1]]
 
 
-def test_grammar():
-    assert paths("What an idiot.") == [("plain", 5.0)]
-    assert paths("You are an IDIOT. Fine.") == [("targeted", 5.0)]
-    assert paths("Never an idiot.") == [("negated", 5.0)]
-    assert paths("Not one word more than that idiot.") == [("plain", 5.0)]  # out of the negation's scope
-    assert paths('The paper said "idiot" twice.') == [("reported", 5.0)]
-    assert paths("You said. What an idiot.") == [("plain", 5.0)]  # speech ends with its clause
-    assert paths("I will kill you.") == [("threat", 4.0)]
-    assert paths("I will not kill you.") == []
-    assert paths("Das ist loweiisch; idiotic") == [("plain", 3.0)]
-    assert paths("idiot idiot") == [("plain", 10.0)]
-    assert paths("nothing here") == [] and paths("") == []
+#: Sentences with "idiot" and words in "lowei", and the paths of what they say, in order.
+CASES = [
+    ("What an idiot.", "plain"), ("You are an IDIOT. Fine.", "targeted"), ("Never an idiot.", "negated"), ("idiot idiot", "plain"), ("nothing here", ""), ("", ""),
+    ("you are not really such a complete idiot", "negated"), ("not clever, an idiot", "plain"), ("Not mad but an idiot.", "plain"), ("you aren't an idiot", "negated"), ("No. An idiot.", "plain"),
+    ("he said: you idiot", "reported"), ('The paper said "idiot" twice.', "reported"), ("You said. What an idiot.", "plain"), ("she called him an idiot", "reported"), ("she never called him an idiot", "reported"),
+    ('"hello" she is fine, you idiot', "targeted"), ('"First part. Then idiot. And idiot again." Out, idiot.', "reported reported plain"), ('He wrote "idiot" and you idiot', "reported targeted"), ('an open " quote\nyou idiot', "targeted"),
+    ("idiot, you", "targeted"), ("idiot, he is", "plain"), ("An idiot. You are fine.", "plain"), ("idiot and you idiot", "targeted"), ("they are idiot people", "targeted"),
+    ("I will kill you.", "threat"), ("i want to kill you", "threat"), ("I will not kill you.", ""), ("we are going to be killing them", "threat"), ("he said i will kill you", ""), ("I will go. Kill you.", ""), ("I will go out with her and then they beat him", ""),
+    ("you will idiot kill them", "targeted threat"),
+    ("Du bist ein idiot", "targeted"), ("Kein idiot.", "negated"), ("Er sagte: du idiot!", "reported"), ("„Du idiot“, rief sie. Du idiot.", "reported targeted"), ("Ich werde dich töten", "threat"), ("je vais te frapper", "threat"), ("Ich werde töten euch", "threat"), ("Das ist loweiisch; idiotic", "plain"),
+    ("Tu es un idiot", "targeted"), ("Tu n'es pas un idiot", "negated"), ("il a dit: quel idiot", "reported"), ("« idiot » puis idiot", "reported plain"), ("je vais tuer vous", "threat"), ("idiot, toi !", "targeted"),
+    ("Eres un idiot, tú", "targeted"), ("No eres idiot", "negated"), ("dijo que es idiot", "reported"), ("voy a matar a ellos", "threat"), ("nunca voy a matar a ellos", ""),
+]
+
+
+def test_written_cases():
+    for text, want in CASES:
+        got = sorted(p for p, _ in paths(text))
+        assert got == sorted(want.split()), (text, got)
+    assert paths("idiot idiot") == [("plain", 10.0)] and paths("Das ist loweiisch; idiotic") == [("plain", 3.0)]
+    assert paths("I will kill you.") == [("threat", X.THREAT)]
+
+
+def by_rules(symbols):
+    """What the four transducers say, by looking back over the whole sequence at every symbol."""
+    out = []
+    for k, s in enumerate(symbols):
+        before = symbols[:k]
+        line = before[before.rfind("P") + 1 :]
+        quoted = line.count("Q") % 2 == 1
+        speech = line[line.rfind("Q") + 1 :]  # a quotation's end ends the speech before it
+        reported = quoted or "R" in speech[speech.rfind("S") + 1 :]
+        clause = before[max(before.rfind(x) for x in "CKSP") + 1 :]
+        if s in "IH" and reported:
+            out.append("r" if s == "I" else "O")
+        elif s in "IH" and "N" in clause:
+            out.append("i" if s == "I" else "O")
+        else:
+            out.append(s)
+    seen = waiting = False
+    for k, s in enumerate(out):
+        if s in "SP":
+            seen = waiting = False
+        elif s == "I" and seen:
+            out[k] = "j"
+        elif s == "I":
+            waiting = True
+        elif s == "Y" and waiting:
+            out[k], seen, waiting = "U", True, False
+        elif s in "TY" and not waiting:
+            seen = True
+    intent = harm = None
+    for k, s in enumerate(out):
+        if s in "CKSP":
+            intent = harm = None
+        elif s == "M":
+            intent, harm = k, None
+        elif s == "H" and intent is not None and harm is None and k - intent <= X.NEAR + 1:
+            harm = k
+            if any(x in "TYU" for x in out[intent:k]):
+                out[k], intent, harm = "X", None, None
+        elif s in "TYU" and harm is not None and k - harm <= X.NEXT + 1:
+            out[k], intent, harm = "X", None, None
+    return "".join(out)
+
+
+def test_machine_against_rules_and_its_parts():
+    rng, machine, parts = random.Random(6), X.grammar(), X.grammar_parts()
+    for _ in range(20_000):
+        symbols = "".join(rng.choice(X.SYMBOLS + "IOOYM") for _ in range(rng.randint(0, 14)))
+        state, one = 0, ""
+        for s in symbols:
+            o, state = machine.step(state, s)
+            one += o
+        two = symbols
+        for part in parts:
+            state, out = 0, ""
+            for s in two:
+                o, state = part.step(state, s)
+                out += o
+            two = out
+        assert one == two == by_rules(symbols), symbols
 
 
 def test_composition_is_application_in_turn():
