@@ -140,6 +140,25 @@ def ranked(rows: DataFrame, by: list[str], spread: Column, pieces: int, order: l
     return numbered.join(counts, on).withColumn(out, (F.col(before) + F.col(row)).cast("long")).drop(piece, before, row, *same)
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with `row`, each one's number in the order from 1, and the sum of columns over the rows before it:
+    sums names the new columns and those summed. Rows are dealt by ranges of the order, so none of this
+    happens in one task; the order should leave few ties."""
+    part = fresh(rows, "part")
+    n = partitions(rows.sparkSession)
+    dealt = settle(rows.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    # One row a partition.
+    ends = dealt.groupBy(part).agg(F.count("*").alias("row"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: fresh(rows, f"{k}_before") for k in ("row", *sums)}
+    ends = ends.select(part, *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(v) for k, v in names.items()))
+    own = Window.partitionBy(part).orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({"row": F.row_number().over(own)} | {k: F.coalesce(F.sum(c).over(upto), F.lit(0)) for k, c in sums.items()})
+    out = out.join(F.broadcast(ends), part).withColumns({k: F.col(k) + F.col(v) for k, v in names.items()})
+    return settle(out.drop(part, *names.values()))
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest node reachable from each node that has an edge: (node, root), longs.
 

@@ -11,7 +11,8 @@ Targets share a total by weight; a source whose share is above its cap gets the
 is shared by weight among the others until none is above.
 
 Ranks and positions are sums over buckets of bounded size first, so that no source, however large,
-meets in one task.
+meets in one task, nor do all sources, however many. A source has at most `most_blocks` blocks: those
+of a large one are longer, so the schedule does not grow without end.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source of its own,
 last in order; null ids and repeated rows are rows like any other; empty tables give empty results.
@@ -22,15 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagecrest.llm.common import fresh, partitions, settle, words
+from pagecrest.llm.common import fresh, partitions, ranked, running, settle, words
 
 #: Consecutive Fibonacci numbers; their ratio is the golden ratio to 18 digits.
 LATTICE, STEP = 1134903170, 701408733
 ROWS_PER_BUCKET = 20_000
 #: Consecutive slots that are ranked together; one source may own a large part of them.
 SLOTS_PER_CHUNK = 4_000
-#: Up to so many sources, with a few dozen bytes each, are broadcast; and so many to a join by range.
-FEW_SOURCES, FEW_RANGES = 50_000, 256
+#: Up to so many sources, with a few dozen bytes each, are broadcast.
+FEW_SOURCES = 50_000
 
 
 def unit_point(k: Column) -> Column:
@@ -42,21 +43,25 @@ def unit_point(k: Column) -> Column:
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """(source, source_size, weight, target) from (source, source_size). Weights go round by the
-    sources' order, nulls last. Shares w * L up to the cap, with the L that spends the total: the
-    sources in the order in which a growing L reaches their caps are capped up to the right one."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", w).withColumn("_cap", cap * F.col("source_size"))
-    by = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    rows = rows.withColumn("_total", share * F.sum("source_size").over(whole))
-    spent, taken = F.coalesce(F.sum("_cap").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = (F.col("_total") - spent) / (F.sum("weight").over(whole) - taken)
-    rows = rows.withColumn("_level", level).withColumn("_over", F.col("_level") * F.col("weight") > F.col("_cap"))
-    first = F.min(F.when(~F.col("_over"), F.struct(F.col("_cap") / F.col("weight"), F.col("source").isNull(), F.col("source"), F.col("_level").alias("l")))).over(whole)
-    return rows.withColumn("target", F.least(F.col("_cap"), F.coalesce(first["l"] * F.col("weight"), F.col("_cap")))).select("source", "source_size", "weight", "target")
+    """(source, source_no, source_size, weight, target) from (source, source_size); sources are numbered in
+    order from 1, null last, and weights go round in that order. Shares w * L up to the cap, with the L
+    that spends the total: the sources in the order in which a growing L reaches their caps are capped
+    up to the right one."""
+    rows = running(sizes, [F.col("source").asc_nulls_last()], {}).withColumnRenamed("row", "source_no")
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_no") - 1) % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("weight", w.cast("double")).withColumn("limit", cap * F.col("source_size"))
+    rows = running(rows.withColumn("reached", F.col("limit") / F.col("weight")), [F.col("reached"), F.col("source_no")], {"spent": "limit", "taken": "weight"})
+    whole, heavy = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(share * whole) - F.col("spent")) / (F.lit(heavy) - F.col("taken"))
+    # The first one that its level does not fill sets the level for all after it.
+    first = rows.withColumn("level", level).where("level * weight <= limit").agg(F.min(F.struct("reached", "source_no", "level"))["level"]).first()[0]
+    target = F.least(F.col("limit"), F.col("weight") * F.lit(first)) if first is not None else F.col("limit")
+    return rows.select("source", "source_no", "source_size", "weight", target.alias("target"))
+
+
+def source_sizes(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """(source, source_size): words of each source, null texts of none."""
+    return docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.size(words(F.col(text))), F.lit(0)).cast("long")).alias("source_size"))
 
 
 def schedule(sources: DataFrame, most_passes: int = 2) -> DataFrame:
@@ -66,19 +71,17 @@ def schedule(sources: DataFrame, most_passes: int = 2) -> DataFrame:
     into the source whose share of the summed quotas holds its point.
     """
     spark = sources.sparkSession
-    shares = sources.withColumn("to", F.sum("quota").over(Window.orderBy("source_no")))
-    shares = settle(shares.select("source_no", "n_blocks", F.coalesce(F.lag("to").over(Window.orderBy("source_no")), F.lit(0.0)).alias("from"), "to"))
-    total = shares.agg(F.max("to")).first()[0] or 0.0
+    shares = running(sources, [F.col("source_no")], {"from": "quota"}).withColumn("to", F.col("from") + F.col("quota")).select("source_no", "n_blocks", "from", "to")
+    total, many = shares.agg(F.coalesce(F.max("to"), F.lit(0.0)), F.count("*")).first()
     n = round(total)
     chunks = max(1, -(-n // SLOTS_PER_CHUNK))
     slots = spark.range(0, n, 1, max(1, min(chunks, 10 * partitions(spark)))).select("id", F.floor(F.col("id") / SLOTS_PER_CHUNK).alias("chunk"), (unit_point(F.col("id")) * total).alias("x"))
     inside = (F.col("x") >= F.col("from")) & (F.col("x") < F.col("to"))
-    if (many := shares.count()) <= FEW_RANGES:
-        placed = slots.join(F.broadcast(shares), inside)
-    else:  # as many cells as sources, each with the sources that reach into it
-        width = total / many
-        cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))))
-        placed = slots.withColumn("cell", F.floor(F.col("x") / width)).join(cells, "cell").where(inside)
+    # As many cells as sources, each with the sources that reach into it: two a cell on average.
+    width = total / max(1, many) or 1.0
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))))
+    cells = F.broadcast(cells) if many <= FEW_SOURCES else cells
+    placed = slots.withColumn("cell", F.floor(F.col("x") / width)).join(cells, "cell").where(inside)
     placed = settle(placed.select("id", "chunk", "source_no", "n_blocks"))
     sums = placed.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,19 +93,19 @@ def schedule(sources: DataFrame, most_passes: int = 2) -> DataFrame:
     return ranked.where(F.col("turn") < most_passes).groupBy("source_no", "block").agg(F.count("*").alias("times"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, most_passes: int = 2, weights: tuple[int, ...] = (5, 2, 1), block_words: int = 64, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, most_passes: int = 2, weights: tuple[int, ...] = (5, 2, 1), block_words: int = 64, most_blocks: int = 1 << 20, seed: int = 7) -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, taken) of every row.
 
-    taken counts words; a document is taken whole taken // size times, and once more its first
+    A source's blocks have block_words words, fewer in a small source, and more where there would be
+    over most_blocks of them; its words come within a block of its target. taken counts words; a document is taken whole taken // size times, and once more its first
     taken % size words if that is not zero.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
     rows = settle(rows)
     n = rows.count()
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, float(most_passes), weights)
-    sources = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     # Small sources get shorter blocks, so that one block more or less matters little.
-    length = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / block_words))).cast("long")
+    length = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / block_words)), F.ceil(F.col("source_size") / most_blocks)).cast("long")
     sources = sources.withColumn("block_size", length).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / length)).cast("long")).withColumn("quota", F.col("target") / length)
     sources = settle(sources)
     times = settle(schedule(sources.select("source_no", "n_blocks", "quota"), most_passes))
@@ -139,17 +142,27 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole taking of a document and one
-    with its first words where the mix takes a part. Rows equal in id, source and text are taken
-    alike, each for its part of what they take together."""
-    plan = mix(docs, doc_id, source, text, **options).where("taken > 0")
-    names = [fresh(docs, x) for x in ("mix_id", "mix_hash", "mix_source", "mix_size", "mix_taken")]
-    plan = plan.groupBy("doc_id", "text_hash", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("taken"))
-    i, h, s, size, taken = map(F.col, names)
+    with its first words where the mix takes a part. What rows equal in id, source and text take
+    together is dealt out to them in whole takings, and one of them is cut for the rest."""
+    plan = mix(docs, doc_id, source, text, **options)
+    names = [fresh(docs, x) for x in ("mix_id", "mix_hash", "mix_source", "mix_size", "mix_taken", "mix_copies")]
+    plan = plan.groupBy("doc_id", "text_hash", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("copies")).where("taken > 0")
+    i, h, s, size, taken, copies = map(F.col, names)
     plan = settle(plan.toDF(*names))
-    rows = docs.join(plan, F.col(doc_id).eqNullSafe(i) & (F.xxhash64(text) == h) & F.col(source).eqNullSafe(s))
-    part = fresh(docs, "mix_part")
-    whole = F.array_repeat(size, F.floor(taken / size).cast("int"))
-    rest = F.when(taken % size > 0, F.array(taken % size)).otherwise(F.array().cast("array<bigint>"))
+    copy, number, part = (fresh(docs, x) for x in ("mix_copy", "mix_number", "mix_part"))
+
+    def met(plan: DataFrame) -> DataFrame:
+        return docs.join(plan, F.col(doc_id).eqNullSafe(i) & (F.xxhash64(text) == h) & F.col(source).eqNullSafe(s))
+
+    rows = met(plan.where(copies == 1)).withColumn(copy, F.lit(0).cast("long"))
+    if (many := plan.where(copies > 1).agg(F.sum(copies)).first()[0]) is not None:
+        repeated = settle(met(plan.where(copies > 1)).withColumn(number, F.monotonically_increasing_id()))
+        key = [names[0], names[1], names[2]]
+        rows = rows.unionByName(ranked(repeated, key, F.xxhash64(number), max(1, many // ROWS_PER_BUCKET), [F.col(number)], copy).drop(number))
+    n_whole = F.floor(taken / size)
+    own = F.floor(n_whole / copies) + (F.col(copy) < n_whole % copies).cast("long")
+    whole = F.array_repeat(size, own.cast("int"))
+    rest = F.when((F.col(copy) == n_whole % copies) & (taken % size > 0), F.array(taken % size)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn(part, F.explode(F.concat(whole, rest)))
     cut = F.when(F.col(part) == size, F.col(text)).otherwise(first_words(F.col(text), F.col(part)))
     return rows.withColumn(text, cut).select(*docs.columns)

@@ -8,7 +8,7 @@ whole runs of like sequences at once. The plan's size depends on the capacity al
 data; each piece then finds its run by its rank among the pieces of its length.
 
 Defined results: null texts count as empty and pack as one end token; empty tables give no rows;
-equal rows are packed each; ids may repeat or be null.
+equal rows are packed each; ids may repeat or be null; columns named sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecrest.llm.bpe import load
-from pagecrest.llm.common import settle
+from pagecrest.llm.common import fresh, ranked, settle
 
 END_ID = 2
 
@@ -123,22 +123,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, doc_id: str = "doc_
 
 def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     """items with sequence_id and offset. items is a table with a length of 1 to capacity."""
-    spark = items.sparkSession
-    items = settle(items)
-    n = items.count()
-    # Many pieces may share one length, so ranks come from buckets of about equal size.
-    buckets = max(64, n // 50_000)
-    keys = [c for c, kind in items.dtypes if not kind.startswith(("array", "map", "struct"))]
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(buckets)))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = settle(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    lengths = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    runs = plan(lengths, capacity)
-    found = spark.sparkContext.broadcast(runs)
-    own = Window.partitionBy("length", "_salt").orderBy(*[F.col(c) for c in keys])
-    ranked = salted.withColumn("_row", F.row_number().over(own)).join(sizes.select("length", "_salt", "_before"), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    spark, columns = items.sparkSession, [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    items = items.select(*columns)
+    row, rank, parts, at = (fresh(items, x) for x in ("row", "rank", "parts", "at"))
+    items = settle(items.withColumn(row, F.monotonically_increasing_id()))
+    # At most `capacity` rows.
+    lengths = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    found = spark.sparkContext.broadcast(plan(lengths, capacity))
+    # Many pieces may share one length, so ranks come from parts of it of about equal size.
+    cut = spark.createDataFrame([(k, max(1, n // 50_000)) for k, n in lengths.items()], f"length long, {parts} long")
+    dealt = items.join(F.broadcast(cut), "length")
+    spread = F.pmod(F.xxhash64(row), F.col(parts))
+    placed = ranked(dealt, ["length"], spread, max(lengths.values(), default=1), [F.col(row)], rank)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -149,4 +145,4 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
         k = at - run[:, 1]
         return pd.DataFrame({"sequence_id": run[:, 2] + k // run[:, 3], "offset": run[:, 4] + k % run[:, 3] * size})
 
-    return ranked.withColumn("_at", place("length", "_rank")).select(*items.columns, "_at.sequence_id", "_at.offset")
+    return placed.withColumn(at, place("length", rank)).select(*columns, f"{at}.sequence_id", f"{at}.offset")

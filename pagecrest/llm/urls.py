@@ -116,12 +116,16 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)), tail[:cut]
 
 
+def ruled(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every row; rule and verdict are null where none fits."""
+    host, path = host_and_path(F.col(url))
+    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    return rows.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "hit.*")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled=LABELLED, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, probability, verdict) of every row. Weights are a few dozen KB."""
     weights = fit([(*split_url(u), y) for u, y in labelled])
-    host, path = host_and_path(F.col(url))
-    rows = with_probability(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")), weights)
-    hit = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("_hit", hit)
+    rows = with_probability(ruled(pages, rules, url, page_id), weights)
     by_model = F.when(F.col("probability") >= 0.5, "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", F.col("_hit.rule").alias("rule"), "probability", F.coalesce("_hit.verdict", by_model).alias("verdict"))
+    return rows.select("page_id", "host", "path", "rule", "probability", F.coalesce("verdict", by_model).alias("verdict"))

@@ -102,3 +102,13 @@ def test_documents(real, messy):
 
 def test_empty(none):
     assert packing.pack(packing.pieces(none, PATH)).count() == 0
+
+
+def test_columns_with_the_same_names(spark):
+    items = spark.createDataFrame([(k % 30 + 1, "x", k, "y", 0) for k in range(500)], "length long, _salt string, _rank int, offset string, sequence_id int")
+    got = packing.pack(items, 40)
+    assert got.columns == ["length", "_salt", "_rank", "sequence_id", "offset"]
+    used = defaultdict(list)
+    for r in got.collect():
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(40 - sum(n for _, n in u) for u in used.values()) == plain_best_fit([k % 30 + 1 for k in range(500)], 40)

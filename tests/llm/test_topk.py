@@ -97,17 +97,3 @@ def test_cells_and_groups(spark):
     rows = [(i, (v / 64).tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert found(df, k=7, block_rows=50, query_rows=4, sample_rows=300) == plain(rows, 7)
-
-
-def test_sql(spark):
-    import duckdb
-
-    from pagecrest.llm import queries
-
-    sf = "/root/testdata/sf0.01"
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
-    got = queries.queries()["op8_cover_tree_top_k"](spark, sf)
-    rel = con.sql(queries.oracle_sql()["op8_cover_tree_top_k"])
-    assert got.columns == rel.columns
-    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
