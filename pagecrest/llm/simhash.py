@@ -62,8 +62,14 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, out:
     return docs.withColumn(out, simhash(F.col(text).cast("binary")))
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances; a second axis has the words of a fingerprint."""
+    d = np.bitwise_count(a ^ b).astype(np.int16)
+    return d if d.ndim < 2 else d.sum(axis=1, dtype=np.int16)
+
+
 class BkTree:
-    """BK-tree over distinct fingerprints, searched for many queries at once."""
+    """BK-tree over fingerprints of one or more words, searched for many queries at once."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
@@ -74,7 +80,7 @@ class BkTree:
             node, below = todo.pop()
             if not len(below):
                 continue
-            d = np.bitwise_count(values[below] ^ values[node])
+            d = distance(values[below], values[node])
             order = np.argsort(d, kind="stable")
             d, below = d[order], below[order]
             cuts = np.flatnonzero(np.diff(d)) + 1
@@ -87,7 +93,7 @@ class BkTree:
         todo = [(self.root, np.arange(len(queries)))] if self.root >= 0 and len(queries) else []
         while todo:
             node, left = todo.pop()
-            d = np.bitwise_count(queries[left] ^ self.values[node]).astype(np.int16)
+            d = distance(queries[left], self.values[node])
             near = left[d <= radius]
             if len(near):
                 yield node, near

@@ -1,13 +1,14 @@
 """The stages against plain versions of what they decide."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import public_tokenizers as P
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from pagecrest.llm import mixing, quality, simhash, toxicity
+from pagecrest.llm import mixing, quality, toxicity
+from test_similar import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,18 +31,7 @@ def test_stages(spark, real, labels):
     assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in clean if judged[r["doc_id"]]}
 
     kept = pipeline.STAGES[2][1](spark, docs, SF).cache()
-    groups = defaultdict(set)
-    left = {r["doc_id"]: simhash.fingerprint(r["text"].encode()) for r in docs.collect()}
-    while left:
-        first = min(left)
-        todo, group = [(first, left.pop(first))], {first}
-        while todo:
-            _, f = todo.pop()
-            near = [i for i, g in left.items() if (f ^ g).bit_count() <= 3]
-            todo += [(i, left.pop(i)) for i in near]
-            group |= set(near)
-        groups[first] = group
-    assert {r["doc_id"] for r in kept.collect()} == set(groups)
+    assert {r["doc_id"] for r in kept.collect()} == groups([(r["doc_id"], r["text"]) for r in docs.collect()])
 
     mix = pipeline.STAGES[3][1](spark, kept, SF).cache()
     assert mix.columns == kept.columns
@@ -64,3 +54,9 @@ def test_an_empty_table(spark, real, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_columns_of_the_stages_own_names(spark, real):
+    docs = real.withColumn("toxic_score", F.lit("mine")).withColumn("_salt", F.lit(1))
+    kept = pipeline.drop_toxic(spark, docs, SF)
+    assert kept.columns == docs.columns and {r["toxic_score"] for r in kept.collect()} == {"mine"}

@@ -1,9 +1,12 @@
 """The pipeline's near-duplicate stage against brute-force Jaccard similarity."""
 
 import itertools
+import random
+
+import numpy as np
 
 import corpus_pipeline as pipeline
-from pagecrest.llm import minhash
+from pagecrest.llm import similar
 
 
 def shingled(text):
@@ -54,10 +57,33 @@ def test_edges_of_the_limit(spark):
 
 
 def test_keys_find_pairs_at_the_limit():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for _ in range(200):
         x = rng.integers(0, 1 << 63, 180, np.int64).astype(np.uint64)
-        a, b = minhash.band_keys(x[:162]), minhash.band_keys(x[18:])  # 144 of 180
-        assert set(a.tolist()) & set(b.tolist())
+        a, b = similar.signature(x[:162]), similar.signature(x[18:])  # 144 of 180
+        assert set(a[0].tolist()) & set(b[0].tolist())
+        assert np.bitwise_count(a[1] ^ b[1]).sum() <= 72
+
+
+def test_one_large_group_and_tiles(spark):
+    # Copies of one text that are unlike each other, beside texts that share a long passage only.
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for k in range(120):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(160)] = f"c{k}"
+        rows.append(" ".join(copy))
+    rows += [" ".join([f"a{k}-{i}" for i in range(60)] + base[:70] + [f"b{k}-{i}" for i in range(60)]) for k in range(120)]
+    docs = list(enumerate(rows))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (1024, 8):
+        found = similar.dedup_groups(table, max_shard=most).collect()
+        assert {r["component_id"] for r in found} == groups(docs)
+
+
+def test_a_tree_joins_the_nearest_first():
+    i, j, d = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3]), np.array([5, 1, 2, 9])
+    assert similar.shortest_tree(i, j, d, np.arange(4)).tolist() == [1, 2, 3]
+    assert similar.shortest_tree(i, j, d, np.array([0, 0, 1, 1])).tolist() == [1]
