@@ -10,14 +10,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecrest.llm import minhash, mixing, packing, quality, simhash, toxicity
-from pagecrest.llm.common import settle, table
+from pagecrest.llm import mixing, packing, quality, similar, simhash, toxicity
+from pagecrest.llm.common import fresh, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grammar score stays below one half."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, out="toxic_score").where("toxic_score < 0.5").select(*docs.columns)
+    score = fresh(docs, "toxic_score")
+    return toxicity.with_score(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates: texts whose five-word
     shingles have a Jaccard similarity of 0.8 or more, and chains of such pairs."""
-    return simhash.keep_first(docs, minhash.dedup_groups(docs)).select(*docs.columns)
+    return simhash.keep_first(docs, similar.dedup_groups(docs)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
