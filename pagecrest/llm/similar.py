@@ -4,10 +4,11 @@ At a similarity of 0.8 fingerprints differ in about 15 % of their bits, so no ru
 agree and shards cannot be dealt by bits as for a small radius. A shard here has the texts that share
 one of BANDS keys, each made of ROWS minima over the hashes of their word shingles: two texts at
 similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS; at 0.8 one pair in 2 million
-does not. Each shard gets a BK-tree over fingerprints of 256 bits, which its members walk down along
-the edges within `radius`: at 0.8 a pair is beyond it with a probability of 2e-9, 5e-5 for texts of
-four and five shingles. What they find are candidates only; they are linked if their sets of shingles
-reach the least similarity, and a chain of such pairs joins them too.
+does not. Each shard gets a BK-tree over fingerprints of 2,048 bits, which its members walk down along
+the edges within a radius: at 0.8 a pair is beyond it with a probability of less than one in a million,
+while most pairs below 0.7 are. Texts of few shingles have a wider one, as their bits are fewer in
+truth. What they find are candidates only; they are linked if their sets of shingles reach the least
+similarity, and a chain of such pairs joins them too.
 
 Three rounds keep the candidates few. The first takes a few keys, cut into shards of bounded size, and of
 each shard the pairs of a shortest spanning tree: copies lie nearest to what they are copies of. The
@@ -38,9 +39,11 @@ BANDS, ROWS = 28, 4
 #: Keys of the first round.
 FIRST = 8
 #: Words of a fingerprint, 64 bits each.
-WIDTH = 4
+WIDTH = 32
+#: Bits in which fingerprints may differ, and those of texts with fewer than FEW shingles.
+RADIUS, RADIUS_OF_FEW, FEW = 388, 600, 32
 #: Shingles mixed at a time.
-CHUNK = 2048
+CHUNK = 512
 _random = np.random.default_rng(SEED)
 FLIPS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 ODDS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -57,25 +60,31 @@ def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, len(words) - shingle + 1))
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS keys of a set of shingle hashes, those of different bands different, and its fingerprint."""
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes; those of different bands are different."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), CHUNK):
+        low = np.minimum(low, ((found[None, at : at + CHUNK] ^ FLIPS) * ODDS).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(low.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of WIDTH words of a set of shingle hashes."""
     ones = np.zeros(64 * WIDTH, np.int64)
     for at in range(0, len(found), CHUNK):
-        part = found[None, at : at + CHUNK]
-        low = np.minimum(low, ((part ^ FLIPS) * ODDS).min(axis=1))
-        mixed = part * BITS
+        mixed = found[None, at : at + CHUNK] * BITS
         mixed = (mixed ^ (mixed >> np.uint64(32))) * BITS
         mixed ^= mixed >> np.uint64(29)
         bits = np.unpackbits(np.ascontiguousarray(mixed.T).view(np.uint8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(low.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64), np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
+        ones += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
 
 
-def near_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance) of members of a shard, i < j, within the radius, of sizes that allow the similarity,
     and in two groups."""
+    radius = RADIUS_OF_FEW if (sizes < FEW).any() else RADIUS
     if len(fps) == 2:  # most shards
         i, j = np.array([0]), np.array([1])
         d = np.bitwise_count(fps[:1] ^ fps[1:]).sum(axis=1)
@@ -86,7 +95,7 @@ def near_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: in
         i, j = i[i < j], j[i < j]
         d = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
     a, b = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-    keep = (d <= radius) & (a * least[1] >= b * least[0]) & (roots[i] != roots[j])
+    keep = (d <= np.where(a < FEW, RADIUS_OF_FEW, RADIUS)) & (a * least[1] >= b * least[0]) & (roots[i] != roots[j])
     return i[keep], j[keep], d[keep]
 
 
@@ -109,7 +118,7 @@ def shortest_tree(i: np.ndarray, j: np.ndarray, d: np.ndarray, roots: np.ndarray
     return np.array(out, np.int64)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], radius: int, least: tuple[int, int], whole: bool) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], least: tuple[int, int], whole: bool) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of the shards, whose rows (key, node, root, n, fp) come one after the other."""
     src: list[np.ndarray] = []
     dst: list[np.ndarray] = []
@@ -122,7 +131,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int, least: tuple[int
         node, root, n, fp = (np.concatenate(x) for x in zip(*parts))
         if len(node) < 2 or (root == root[0]).all():
             return
-        i, j, d = near_pairs(fp, n, root, radius, least)
+        i, j, d = near_pairs(fp, n, root, least)
         if not whole and len(i) > 1:
             chosen = shortest_tree(i, j, d, root)
             i, j = i[chosen], j[chosen]
@@ -151,10 +160,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int, least: tuple[int
     yield batch()
 
 
-def _pairs(rows: DataFrame, radius: int, least: tuple[int, int], whole: bool = False) -> DataFrame:
-    """Candidate pairs (a, b), each once, of rows (key, node, root, n, fp)."""
-    rows = rows.select("key", "node", "root", "n", "fp").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return settle(rows.mapInArrow(lambda it: _candidates(it, radius, least, whole), "a long, b long").distinct())
+def _pairs(rows: DataFrame, sets: DataFrame, least: tuple[int, int], whole: bool = False) -> DataFrame:
+    """Candidate pairs (a, b), each once, of rows (key, node, root, n)."""
+    rows = rows.join(sets.select("node", "fp"), "node").select("key", "node", "root", "n", "fp").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return settle(rows.mapInArrow(lambda it: _candidates(it, least, whole), "a long, b long").distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -166,45 +175,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Data
     return settle(met.where(both * least[1] >= either * least[0]).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: tuple[int, int] = (4, 5), radius: int = 72, max_shard: int = 1024) -> DataFrame:
+def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: tuple[int, int] = (4, 5), max_shard: int = 1024) -> DataFrame:
     """(doc_id, text_hash, root, component_id) of every row, as simhash.dedup_groups has them. least is
-    the least similarity, as a fraction."""
+    the least similarity, as a fraction; the radius is for 0.8."""
 
-    @F.pandas_udf("struct<keys:array<long>,n:long,fp:binary>")
+    @F.pandas_udf("struct<keys:array<long>,n:long>")
     def signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             found = [shingles(t, shingle) for t in part]
-            made = [signature(f) for f in found]
-            yield pd.DataFrame({"keys": [m[0] for m in made], "n": [len(f) for f in found], "fp": [m[1].tobytes() for m in made]})
+            yield pd.DataFrame({"keys": [band_keys(f) for f in found], "n": [len(f) for f in found]})
 
-    @F.pandas_udf("array<long>")
-    def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<found:array<long>,fp:binary>")
+    def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            yield pd.Series([shingles(t, shingle).view(np.int64) for t in part])
+            found = [shingles(t, shingle) for t in part]
+            yield pd.DataFrame({"found": [f.view(np.int64) for f in found], "fp": [fingerprint(f).tobytes() for f in found]})
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
     rows = settle(texts.select("doc_id", "text_hash", signed("text").alias("s")).select("doc_id", "text_hash", "s.*"))
-    first = F.min(F.struct("n", "keys", "fp")).alias("s")
-    names = settle(rows.groupBy("text_hash").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), first).select("text_hash", "low", "copies", "s.*"))
-    dealt = names.select(F.col("text_hash").alias("node"), "n", "fp", F.posexplode("keys").alias("band", "key"))
+    first = F.min(F.struct("n", "keys")).alias("s")
+    names = settle(rows.groupBy("text_hash").agg(F.min("doc_id").alias("low"), first).select("text_hash", "low", "s.*"))
+    dealt = names.select(F.col("text_hash").alias("node"), "n", F.posexplode("keys").alias("band", "key"))
     shared = settle(dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    met = settle(join_one(dealt, shared, "key", names.count() * BANDS).select("key", "band", "node", "n", "fp", "c"))
+    met = settle(join_one(dealt, shared, "key", names.count() * BANDS).select("key", "band", "node", "n", "c"))
     used = settle(met.select(F.col("node").alias("text_hash")).distinct())
     one_each = texts.join(used, "text_hash", "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
-    sets = settle(one_each.select(F.col("text_hash").alias("node"), shingle_set("text").alias("found")))
+    sets = settle(one_each.select(F.col("text_hash").alias("node"), shingle_set("text").alias("s")).select("node", "s.*"))
 
     cut = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / max_shard))
-    few = met.where(F.col("band") < FIRST).select(F.xxhash64("key", cut).alias("key"), "node", F.col("node").alias("root"), "n", "fp")
-    edges = _verified(_pairs(few, radius, least), sets, least)
+    few = met.where(F.col("band") < FIRST).select(F.xxhash64("key", cut).alias("key"), "node", F.col("node").alias("root"), "n")
+    edges = _verified(_pairs(few, sets, least), sets, least)
     joined = settle(components(edges))
     for whole in (False, True):
         # Only keys whose texts are in several groups, and of these any two in one tile.
-        placed = settle(met.join(joined, "node", "left").select("key", "node", "n", "fp", "c", F.coalesce("root", "node").alias("root")))
+        placed = settle(met.join(joined, "node", "left").select("key", "node", "n", "c", F.coalesce("root", "node").alias("root")))
         mixed = settle(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"))
         tiles = F.ceil(F.col("c") / max_shard).cast("int")
         p, o = F.pmod(F.xxhash64("node"), tiles).cast("int"), F.explode(F.sequence(F.lit(0), tiles - 1))
         tiled = placed.join(mixed, "key", "left_semi").select("*", p.alias("p"), o.alias("o")).withColumn("key", F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")))
-        pairs = _pairs(tiled, radius, least, whole)
+        pairs = _pairs(tiled, sets, least, whole)
         more = _verified(pairs, sets, least)
         if more.take(1):
             edges = edges.union(more)

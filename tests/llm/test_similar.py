@@ -60,9 +60,17 @@ def test_keys_find_pairs_at_the_limit():
     rng = np.random.default_rng(1)
     for _ in range(200):
         x = rng.integers(0, 1 << 63, 180, np.int64).astype(np.uint64)
-        a, b = similar.signature(x[:162]), similar.signature(x[18:])  # 144 of 180
-        assert set(a[0].tolist()) & set(b[0].tolist())
-        assert np.bitwise_count(a[1] ^ b[1]).sum() <= 72
+        a, b = similar.band_keys(x[:162]), similar.band_keys(x[18:])  # 144 of 180
+        assert set(a.tolist()) & set(b.tolist())
+
+
+def test_the_radius_reaches_pairs_at_the_limit():
+    rng = np.random.default_rng(2)
+    for n in [5, 10, 15, 20, 25, 30, 40, 60, 100, 200, 400] * 30:
+        x = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+        for a, b in ((x, x[n // 5 :]), (x[: n - n // 10], x[n // 5 - n // 10 :])):
+            far = np.bitwise_count(similar.fingerprint(a) ^ similar.fingerprint(b)).sum()
+            assert far <= (similar.RADIUS_OF_FEW if min(len(a), len(b)) < similar.FEW else similar.RADIUS), n
 
 
 def test_one_large_group_and_tiles(spark):
