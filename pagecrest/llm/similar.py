@@ -14,7 +14,7 @@ Three rounds keep the candidates few. The first takes a few keys, cut into shard
 each shard the pairs of a shortest spanning tree: copies lie nearest to what they are copies of. The
 second takes all keys whose texts are not yet one group, in tiles so that any two meet, and of each
 tile a shortest tree between groups. The last takes every pair within the radius that is still in two
-groups. So the groups are those of all candidate pairs, and no copies are compared all with all.
+groups, in the first of the keys that the two share. So the groups are those of all candidate pairs, and no copies are compared all with all.
 
 Defined results: null and empty texts count as one shingle of no words and are alike; texts with fewer
 words than a shingle are one shingle; words are compared in lower case (ASCII), as by the fingerprint;
@@ -119,7 +119,9 @@ def shortest_tree(i: np.ndarray, j: np.ndarray, d: np.ndarray, roots: np.ndarray
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], least: tuple[int, int], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the shards, whose rows (key, node, root, n, fp) come one after the other."""
+    """Pairs (a, b) of the shards, whose rows (key, node, root, n, fp) come one after the other. Rows for
+    whole shards have more: the key's band, the row's piece and the one that the tile pairs it with, and
+    all keys of the node, by which a pair that shares several is told in its first one only."""
     src: list[np.ndarray] = []
     dst: list[np.ndarray] = []
 
@@ -128,11 +130,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: tuple[int, int], whole
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def shard(parts: list[tuple[np.ndarray, ...]]) -> None:
-        node, root, n, fp = (np.concatenate(x) for x in zip(*parts))
+        node, root, n, fp, *more = (np.concatenate(x) for x in zip(*parts))
         if len(node) < 2 or (root == root[0]).all():
             return
         i, j, d = near_pairs(fp, n, root, least)
-        if not whole and len(i) > 1:
+        if whole:
+            band, piece, other, keys = more
+            chosen = ((keys[i] == keys[j]).argmax(axis=1) == band[i]) & ((piece[i] != piece[j]) | (piece[i] == other[i]))
+            i, j = i[chosen], j[chosen]
+        elif len(i) > 1:
             chosen = shortest_tree(i, j, d, root)
             i, j = i[chosen], j[chosen]
         src.append(node[i])
@@ -145,13 +151,17 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: tuple[int, int], whole
             continue
         key, node, root, n = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
         fp = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(-1, WIDTH)
+        columns = [node, root, n, fp]
+        if whole:
+            columns += [c.to_numpy(zero_copy_only=False) for c in b.columns[5:8]]
+            columns.append(b.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
         cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
         for x, y in zip(cuts[:-1], cuts[1:]):
             if held and key[x] != last:
                 shard(held)
                 held = []
             last = key[x]
-            held.append((node[x:y], root[x:y], n[x:y], fp[x:y]))
+            held.append(tuple(c[x:y] for c in columns))
         if sum(map(len, src)) > 100_000:
             yield batch()
             src, dst = [], []
@@ -162,7 +172,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: tuple[int, int], whole
 
 def _pairs(rows: DataFrame, sets: DataFrame, least: tuple[int, int], whole: bool = False) -> DataFrame:
     """Candidate pairs (a, b), each once, of rows (key, node, root, n)."""
-    rows = rows.join(sets.select("node", "fp"), "node").select("key", "node", "root", "n", "fp").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    more = ["band", "piece", "other", "keys"] if whole else []
+    rows = rows.join(sets.select("node", "fp", *more[3:]), "node").select("key", "node", "root", "n", "fp", *more).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
     return settle(rows.mapInArrow(lambda it: _candidates(it, least, whole), "a long, b long").distinct())
 
 
@@ -200,7 +211,8 @@ def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     met = settle(join_one(dealt, shared, "key", names.count() * BANDS).select("key", "band", "node", "n", "c"))
     used = settle(met.select(F.col("node").alias("text_hash")).distinct())
     one_each = texts.join(used, "text_hash", "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
-    sets = settle(one_each.select(F.col("text_hash").alias("node"), shingle_set("text").alias("s")).select("node", "s.*"))
+    sets = one_each.select(F.col("text_hash").alias("node"), shingle_set("text").alias("s")).select("node", "s.*")
+    sets = settle(sets.join(names.select(F.col("text_hash").alias("node"), "keys"), "node"))
 
     cut = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / max_shard))
     few = met.where(F.col("band") < FIRST).select(F.xxhash64("key", cut).alias("key"), "node", F.col("node").alias("root"), "n")
@@ -208,11 +220,12 @@ def dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     joined = settle(components(edges))
     for whole in (False, True):
         # Only keys whose texts are in several groups, and of these any two in one tile.
-        placed = settle(met.join(joined, "node", "left").select("key", "node", "n", "c", F.coalesce("root", "node").alias("root")))
+        placed = settle(met.join(joined, "node", "left").select("key", "band", "node", "n", "c", F.coalesce("root", "node").alias("root")))
         mixed = settle(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"))
         tiles = F.ceil(F.col("c") / max_shard).cast("int")
         p, o = F.pmod(F.xxhash64("node"), tiles).cast("int"), F.explode(F.sequence(F.lit(0), tiles - 1))
-        tiled = placed.join(mixed, "key", "left_semi").select("*", p.alias("p"), o.alias("o")).withColumn("key", F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")))
+        tiled = placed.join(mixed, "key", "left_semi").select("*", p.alias("piece"), o.alias("other"))
+        tiled = tiled.withColumn("key", F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")))
         pairs = _pairs(tiled, sets, least, whole)
         more = _verified(pairs, sets, least)
         if more.take(1):
