@@ -171,20 +171,20 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where("u <> v").distinct()
     )
-    seen = None
+    seen, n = None, stars.count()
     while True:
         both = stars.union(stars.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = join_one(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_one(both.where("v > u"), low, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settle(large.where("u <> v").distinct())
         discard(low, stars)
         low = settle(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = join_one(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_one(large, low, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = settle(small.where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
         discard(low, large)
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     roots = stars.select("v").distinct().select(F.col("v").alias("u"), "v")
     return stars.union(roots).toDF("node", "root")
