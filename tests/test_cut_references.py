@@ -21,7 +21,7 @@ def pages(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["xhtml_headings", "xhtml_title_skipped"])
+@pytest.mark.parametrize("name", ["xhtml_headings", "xhtml_title_skipped", "xhtml_blocks"])
 def test_query(spark, pages, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{pages}/pages.parquet')")
